@@ -140,6 +140,19 @@ def canon(text: str) -> str:
     return _clusters(text).sub(lambda m: _MEMO[m[0]], text)
 
 
+_TWO_CASED = re.compile("[\u0370-\u052f]")
+
+
+def raised(text: str) -> str:
+    """The consistent form in capitals.
+
+    Capitals and not small letters, as a letter may look alike in one case only
+    (Cyrillic н and Н): small ones are raised before the form is taken again.
+    """
+    up = canon(text).upper()
+    return canon(up) if not up.isascii() and _TWO_CASED.search(up) else up
+
+
 def canon_map(text: str) -> tuple[str, array | None]:
     """The consistent form, and for each of its characters where its source cluster starts.
 

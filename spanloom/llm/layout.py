@@ -9,10 +9,17 @@ from pyspark.sql import types as T
 RECORD = T.StructType([T.StructField(x, T.StringType()) for x in ("id", "text", "source", "language")])
 
 
+# Small letters that case folding writes out or makes equal to another.
+FOLDS = {"ß": "ss", "ŉ": "ʼn", "ǰ": "ǰ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
 def bare(c: Column) -> Column:
     """Letters and digits of ``c`` in their order, case ignored, ß as ss; null is empty."""
-    # upper() first: it expands ß and ligatures as a reader of capitals would write them
-    return F.coalesce(F.lower(F.upper(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))), F.lit(""))
+    # lower(upper(c)) would fold more shortly, but the optimizer takes it for lower(c)
+    low = F.translate(F.lower(c), "ςſ", "σs")
+    for letter, out in FOLDS.items():
+        low = F.replace(low, F.lit(letter), F.lit(out))
+    return F.coalesce(F.regexp_replace(low, r"[^\p{L}\p{N}]", ""), F.lit(""))
 
 
 def _invariants(parts: list[Column]) -> list[Column]:

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .canon import consistent_form, lookalike_pairs
+from .language import fit, language_cases, languages
 from .layout import kept_lines, layout_copies
+from .overlap import cross_split_pairs, overlap_report
+from .packing import CAPACITY, pack_items
 from .repeats import repetition, repetitive
 from .split import split_oversized
-from .tokens import encode_corpus, token_counts
+from .tokens import encode_corpus, token_counts, token_sizes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +28,17 @@ def p1_forms(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "dataset_examples").select("row_id", consistent_form(F.col("text")).alias("form"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language_cases(table(spark, folder, "dataset_examples"))
+
+
+def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stretch of every text, with its confidence."""
+    df = table(spark, folder, "dataset_examples")
+    rows = languages(df, fit(df)).select("row_id", F.explode("segments").alias("s"))
+    return rows.select("row_id", F.col("s.seg_no").alias("seg_no"), F.col("s.language").alias("language"), F.col("s.confidence").alias("confidence"))
+
+
 def p3_texts(spark: SparkSession, folder: str) -> DataFrame:
     """One row per text of both tables with its source, language, domain and token count."""
     ex = table(spark, folder, "dataset_examples").select(F.lit("dataset_examples").alias("tab"), F.col("row_id").alias("id"), "source", "language", "text")
@@ -54,10 +68,25 @@ def p5_kept(spark: SparkSession, folder: str) -> DataFrame:
     return kept_lines(table(spark, folder, "example_lines"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_split_pairs(table(spark, folder, "dataset_examples"))
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap_report(table(spark, folder, "dataset_examples"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
 
+def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """A container for every document, by exact token counts."""
+    sized = token_sizes(table(spark, folder, "documents"), "doc_id")
+    packed = pack_items(sized, "doc_id", "tokens", CAPACITY)
+    return packed.withColumnRenamed("item_id", "doc_id")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return repetitive(table(spark, folder, "documents"))
 
