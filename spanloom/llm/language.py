@@ -153,7 +153,7 @@ class Model:
         for i, (a, b) in enumerate(zip(ends, ends[1:])):
             if a == b or not tells[i]:
                 out.append([])
-            elif -top[i] < SWITCH:  # no change of language can gain what it costs: every word's best is 0
+            elif -top[i] < SWITCH or _gain(run[a : b + 1], best[i]) <= SWITCH:  # no change can gain what it costs: every word's best is 0
                 out.append([(LANGUAGES[best[i]], float(sure[i]), b - a)])
             else:
                 path = _path(scores[a:b])
@@ -162,6 +162,12 @@ class Model:
         return out
 
 
+def _gain(run: np.ndarray, base: int) -> float:
+    """The most that any stretch of words gains in another language, from running sums of scores."""
+    ahead = run - run[:, base : base + 1]
+    return float((ahead - np.minimum.accumulate(ahead, axis=0)).max())
+
+
 def _confidence(total: np.ndarray) -> float:
     p = np.exp(np.clip(total - total.max(), -50, 0))
     return float(p.max() / p.sum())

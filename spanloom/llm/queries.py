@@ -13,6 +13,7 @@ from .language import fit, language_cases, languages
 from .layout import kept_lines, layout_copies
 from .overlap import cross_split_pairs, overlap_report
 from .packing import CAPACITY, pack_items
+from .personal import detect, fit_lexicon, scrubbed
 from .repeats import repetition, repetitive
 from .split import split_oversized
 from .tokens import encode_corpus, token_counts, token_sizes
@@ -68,6 +69,25 @@ def p5_kept(spark: SparkSession, folder: str) -> DataFrame:
     return kept_lines(table(spark, folder, "example_lines"))
 
 
+def _unannotated(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of both tables with null spans, as ``tab, rid, text``."""
+    ex = table(spark, folder, "dataset_examples").filter("spans is null").select(F.lit("dataset_examples").alias("tab"), F.col("row_id").cast("string").alias("rid"), "text")
+    hand = table(spark, folder, "examples").filter("spans is null").select(F.lit("examples").alias("tab"), F.col("id").cast("string").alias("rid"), "text")
+    return ex.unionByName(hand)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    lexicon = fit_lexicon(table(spark, folder, "dataset_examples"))
+    found = detect(_unannotated(spark, folder), lexicon, ["tab", "rid"]).select("tab", "rid", F.explode("found").alias("s"))
+    return found.select("tab", "rid", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.entity_type").alias("entity_type"))
+
+
+def p6_scrubbed(spark: SparkSession, folder: str) -> DataFrame:
+    """Unannotated texts with typed placeholders."""
+    lexicon = fit_lexicon(table(spark, folder, "dataset_examples"))
+    return scrubbed(_unannotated(spark, folder), lexicon, ["tab", "rid"]).select("tab", "rid", "scrubbed")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return cross_split_pairs(table(spark, folder, "dataset_examples"))
 
