@@ -113,6 +113,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["e1", "e2", "t1", "t2"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _frequent(words: DataFrame) -> dict[str, int]:
+    """Counts of the most common words, at most ``FREQUENT`` of them, over all rows.
+
+    A histogram of the counts tells from which count on words are few enough, so
+    the driver gets these and no task's runners-up.
+    """
+    counts = written(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "overlap-words")
+    level = F.floor(F.log("n") * 8).cast("int")  # a step is a factor of about 1.13
+    kept, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        kept += r.words
+        if kept > FREQUENT:
+            break
+        least = r.level
+    return {} if least is None else {r.w: r.n for r in counts.filter(level >= least).collect()}
+
+
 def near_classes(df: DataFrame, row_id: str, text: str, split: str, train: tuple[str, ...] = ("train",)) -> tuple[DataFrame, DataFrame]:
     """Rows with the class of their normalised text, and the links between evaluation and training classes."""
     # no upper() of split names: they are matched as written
@@ -127,8 +144,7 @@ def near_classes(df: DataFrame, row_id: str, text: str, split: str, train: tuple
     normed = written(normed.withColumns({f"c{k}": F.xxhash64(F.lit(k), "norm") for k in (1, 2)}), "overlap-rows")
     classes = normed.groupBy("c1", "c2").agg(F.max("ev").alias("ev"), F.max(~F.col("ev")).alias("tr"), F.min("norm").alias("norm"))
     classes = written(classes, "overlap-classes")
-    counts = classes.select(F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    common = {r.w: r.n for r in counts.orderBy(F.desc("n"), "w").limit(FREQUENT).collect()}
+    common = _frequent(classes.select(F.explode(F.array_distinct(F.split("norm", " "))).alias("w")))
     shape = "c1 long, c2 long, ev boolean, tr boolean, anchor string, n int"
     prefix = classes.mapInArrow(_prefixes(common), shape)
     e = prefix.filter("ev").select("anchor", F.col("n").alias("en"), F.col("c1").alias("e1"), F.col("c2").alias("e2"))
