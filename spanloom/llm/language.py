@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .canon import raised
+from .sample import bounded_sample
 
 LANGUAGES = ["de", "en", "es", "fr", "it", "nl", "pt", "ru"]
 SAMPLE = 12_000  # annotated rows the model is fitted on, at most
@@ -207,7 +208,7 @@ def fit(df: DataFrame, text: str = "text", language: str = "language", spans: st
     """
     rows = df.select(F.col(text).alias("t"), F.col(spans).alias("s"), code_of(F.col(language)).alias("k"), F.col(key).alias("id"))
     rows = rows.filter("t is not null and s is not null and k is not null and length(t) <= 2000")
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("t", "s", "k").toPandas()
+    picked = bounded_sample(rows, "id", sample).select("t", "s", "k").toPandas()
     texts = [(_masked(t, s), k) for t, s, k in zip(picked.t, picked.s, picked.k)]
     counts: dict[str, Counter] = defaultdict(Counter)
     for t, k in texts:

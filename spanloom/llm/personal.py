@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .canon import LOOKALIKES, TABLE, _invisible, canon_map
+from .sample import bounded_sample
 
 SAMPLE = 12_000  # annotated rows the lexicon is fitted on, at most
 TYPES = ["ADDRESS", "EMAIL", "ID_NUMBER", "PERSON", "PHONE"]
@@ -196,7 +197,7 @@ def _end(text: str, at, b: int) -> int:
 def fit_lexicon(df: DataFrame, text: str = "text", spans: str = "spans", key: str = "row_id", sample: int = SAMPLE) -> Lexicon:
     """Lexicon from at most ``sample`` annotated rows, picked by a hash of their key."""
     rows = df.select(F.col(text).alias("t"), F.col(spans).alias("s"), F.col(key).alias("id")).filter("t is not null and s is not null")
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("t", "s").toPandas()
+    picked = bounded_sample(rows, "id", sample).select("t", "s").toPandas()
     return lexicon_of(zip(picked.t, picked.s))
 
 
