@@ -16,6 +16,15 @@ SCORED = "struct<start:int,end:int,entity_type:string,score:double>"
 WINDOWED = "struct<window_index:int,start:int,end:int,entity_type:string,score:double>"
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` worked out once, however often ``f`` uses it.
+
+    An expression inside a lambda is evaluated at every step and at every place
+    it is written; bound to a variable of an array of one, it is evaluated once.
+    """
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def empty(kind: str) -> Column:
     return F.expr(f"cast(array() as array<{kind}>)")
 
@@ -169,8 +178,11 @@ def merge_fragments(text: Column, spans: Column, types: set[str] | None = None)
 
 def adjacent_overlap(spans: Column) -> Column:
     """Whether a span overlaps the one before it in order."""
-    o = in_order(bare(spans))
-    return F.exists(F.sequence(F.lit(1), F.size(o) - 1), lambda i: F.get(o, i)["start"] < F.get(o, i - 1)["end"]) & (F.size(o) > 1)
+    def clash(o: Column) -> Column:
+        pairs = F.zip_with(o, F.slice(o, F.lit(2), F.greatest(F.size(o) - 1, F.lit(0))), lambda a, b: F.coalesce(b.start < a.end, F.lit(False)))
+        return F.exists(pairs, lambda x: x)
+
+    return let(in_order(bare(spans)), clash)
 
 
 def valid_bounds(spans: Column, length: Column) -> Column:
@@ -236,25 +248,30 @@ def partial_hits(gold: Column, predicted: Column) -> Column:
 
 def error_kind(text: Column, gold: Column, predicted: Column) -> Column:
     """Why a gold span has no exact prediction; null where it has one."""
-    near = F.filter(predicted, lambda p: overlaps(gold, p))
-    same = F.filter(near, lambda p: p.entity_type == gold.entity_type)
-    exact = F.exists(same, lambda p: (p.start == gold.start) & (p.end == gold.end))
-    parts = F.array_sort(F.transform(same, lambda p: F.struct(F.greatest(p.start, gold.start).alias("a"), F.least(p.end, gold.end).alias("b"))))
-    first = F.struct(gold.start.alias("at"), F.lit(True).alias("ok"), F.lit(True).alias("head"))
-
-    def step(acc: Column, p: Column) -> Column:
-        gap = (p["a"] > acc["at"]) & F.when(acc["head"], True).otherwise(has_alnum(slice_text(text, acc["at"], p["a"])))
-        return F.struct(F.greatest(acc["at"], p["b"]).alias("at"), (acc["ok"] & ~gap).alias("ok"), F.lit(False).alias("head"))
-
-    whole = F.aggregate(parts, first, step, lambda acc: acc["ok"] & ~has_alnum(slice_text(text, acc["at"], gold.end)))
-    ranked = F.array_sort(F.transform(same, lambda p, i: F.struct((-(F.least(p.end, gold.end) - F.greatest(p.start, gold.start))).alias("o"), i.alias("i"), p.start.alias("start"), p.end.alias("end"))))
-    best = F.get(ranked, F.lit(0))
-    return (
-        F.when(exact, F.lit(None).cast("string")).when(F.size(near) == 0, "miss").when(F.size(same) == 0, "wrong_type")
-        .when((F.size(same) > 1) & whole, "split")
-        .when((best["start"] <= gold.start) & (best["end"] >= gold.end), "oversized")
-        .when((best["start"] >= gold.start) & (best["end"] <= gold.end), "undersized").otherwise("boundary_shift")
-    )
+    def of_same(near: Column, same: Column) -> Column:
+        exact = F.exists(same, lambda p: (p.start == gold.start) & (p.end == gold.end))
+        parts = F.array_sort(F.transform(same, lambda p: F.struct(F.greatest(p.start, gold.start).alias("a"), F.least(p.end, gold.end).alias("b"))))
+        first = F.struct(gold.start.alias("at"), F.lit(True).alias("ok"), F.lit(True).alias("head"))
+
+        def step(acc: Column, p: Column) -> Column:
+            gap = (p["a"] > acc["at"]) & F.when(acc["head"], True).otherwise(has_alnum(slice_text(text, acc["at"], p["a"])))
+            return F.struct(F.greatest(acc["at"], p["b"]).alias("at"), (acc["ok"] & ~gap).alias("ok"), F.lit(False).alias("head"))
+
+        whole = F.aggregate(parts, first, step, lambda acc: acc["ok"] & ~has_alnum(slice_text(text, acc["at"], gold.end)))
+        ranked = F.array_sort(F.transform(same, lambda p, i: F.struct((-(F.least(p.end, gold.end) - F.greatest(p.start, gold.start))).alias("o"), i.alias("i"), p.start.alias("start"), p.end.alias("end"))))
+
+        def place(best: Column) -> Column:
+            return (
+                F.when((best["start"] <= gold.start) & (best["end"] >= gold.end), "oversized")
+                .when((best["start"] >= gold.start) & (best["end"] <= gold.end), "undersized").otherwise("boundary_shift")
+            )
+
+        return (
+            F.when(exact, F.lit(None).cast("string")).when(F.size(near) == 0, "miss").when(F.size(same) == 0, "wrong_type")
+            .when((F.size(same) > 1) & whole, "split").otherwise(let(F.get(ranked, F.lit(0)), place))
+        )
+
+    return let(F.filter(predicted, lambda p: overlaps(gold, p)), lambda near: let(F.filter(near, lambda p: p.entity_type == gold.entity_type), lambda same: of_same(near, same)))
 
 
 def false_positives(gold: Column, predicted: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chars import characters, normalized, slice_text
 from ..functions.ratios import ratio
+from ..functions.spans import bare, let
 from .metrics import dataset_score, document_measures
 
 
@@ -28,18 +29,23 @@ PERTURBATIONS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def perturbed(text: Column, spans: Column, f: Callable[[Column], Column]) -> tuple[Column, Column]:
-    """``(text, spans)`` after a change by character; a boundary moves to the length of its changed prefix."""
+def perturbed(text: Column, spans: Column, f: Callable[[Column], Column]) -> Column:
+    """``struct<text, spans>`` after a change by character; a boundary moves to the length of its changed prefix.
+
+    No change makes a character vanish, so where the whole keeps its length all boundaries stay.
+    """
     move = lambda at: F.length(f(slice_text(text, F.lit(0), at)))
-    return f(text), F.transform(spans, lambda s: F.struct(move(s.start).alias("start"), move(s.end).alias("end"), s.entity_type.alias("entity_type")))
+    moved = F.transform(spans, lambda s: F.struct(move(s.start).alias("start"), move(s.end).alias("end"), s.entity_type.alias("entity_type")))
+    return let(f(text), lambda t: F.struct(t.alias("text"), F.when(F.length(t) == F.length(text), bare(spans)).otherwise(moved).alias("spans")))
 
 
 def perturb(df: DataFrame, families: list[str] | None = None, text: str = "text", spans: str = "spans") -> DataFrame:
     """``df`` once per family that changes its text, with ``family, perturbed_text, perturbed_spans``."""
     parts = []
     for name in families or list(PERTURBATIONS):
-        t, s = perturbed(F.col(text), F.col(spans), PERTURBATIONS[name])
-        parts.append(df.withColumn("family", F.lit(name)).withColumns({"perturbed_text": t, "perturbed_spans": s}).filter(F.col("perturbed_text") != F.col(text)))
+        changed = df.withColumn("family", F.lit(name)).withColumn("_r", perturbed(F.col(text), F.col(spans), PERTURBATIONS[name]))
+        changed = changed.withColumns({"perturbed_text": F.col("_r.text"), "perturbed_spans": F.col("_r.spans")}).drop("_r")
+        parts.append(changed.filter(F.col("perturbed_text") != F.col(text)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -90,7 +96,7 @@ def duplicate_samples(df: DataFrame, key: str, part: str = "split", text: str =
 
 def value_overlap(df: DataFrame, part: str = "split", text: str = "text", spans: str = "spans", train: str = "train") -> DataFrame:
     """``part, entity_type, gold_spans, seen_in_train, rate`` of normalised span values."""
-    rows = df.select(F.col(part).alias("part"), F.col(text).alias("_t"), F.explode(spans).alias("s"))
+    rows = df.select(F.col(part).alias("part"), F.col(text).alias("_t"), F.explode_outer(spans).alias("s")).filter("s is not null")
     rows = rows.select("part", F.col("s.entity_type").alias("entity_type"), normalized(slice_text(F.col("_t"), F.col("s.start"), F.col("s.end"))).alias("value"))
     seen = rows.filter(F.col("part") == train).select("entity_type", "value").distinct().withColumn("_hit", F.lit(1))
     met = rows.filter(F.col("part") != train).join(seen, ["entity_type", "value"], "left")

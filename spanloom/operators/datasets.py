@@ -25,7 +25,7 @@ def statistics(df: DataFrame, text: str = "text", spans: str = "spans") -> DataF
 
 def count_rows(df: DataFrame, spans: str = "spans", **columns: str) -> DataFrame:
     """``kind, name, n``: rows by each named column, and spans by type."""
-    by_type = df.select(F.explode(spans).alias("s")).groupBy(F.lit("entity_type").alias("kind"), F.col("s.entity_type").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    by_type = df.select(F.explode_outer(spans).alias("s")).filter("s is not null").groupBy(F.lit("entity_type").alias("kind"), F.col("s.entity_type").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     for kind, c in columns.items():
         by_type = by_type.unionByName(df.groupBy(F.lit(kind).alias("kind"), F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n")))
     return by_type

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.chars import trimmed
-from ..functions.spans import SCORED, empty, in_order, match_spans, of_types, resolve_greedy
+from ..functions.spans import SCORED, empty, in_order, let, match_spans, of_types, resolve_greedy
 
 # The structured identifiers, as Java patterns with Unicode classes.
 PATTERNS = {
@@ -84,56 +84,55 @@ def detector(name: str, **settings) -> Callable[[Column], Column]:
 
 # ---- spans written as JSON by a generating model
 
-_BROKEN = "output must be valid JSON"
-
-
-def _integer(v: Column) -> Column:
-    return F.expr("schema_of_variant(v)") if v is None else F.schema_of_variant(v).isin("BIGINT", "INT", "SMALLINT", "TINYINT")
-
-
-def parse_object_output(text: Column, output: Column, types: set[str] | None = None) -> tuple[Column, Column]:
-    """``(spans, error)`` of a JSON object ``{"spans": [...]}``, strictly.
+def parse_object_output(text: Column, output: Column, types: set[str] | None = None) -> Column:
+    """``struct<spans, error>`` of a JSON object ``{"spans": [...]}``, strictly.
 
     The object has no other key, each span exactly start, end and entity_type,
     offsets are integers in the text, types have no outer blanks, and spans are
     sorted without overlap. The first broken rule is the error and spans are null.
     """
-    items = F.from_json(F.get_json_object(output, "$.spans"), "array<string>")
-    valid = F.try_parse_json(output)
     keys = F.json_object_keys(output)
+    items = F.from_json(F.get_json_object(output, "$.spans"), "array<string>")
 
     def item(x: Column) -> Column:
-        v = F.try_parse_json(x)
-        start, end = F.try_variant_get(v, "$.start", "bigint"), F.try_variant_get(v, "$.end", "bigint")
-        whole = F.forall(F.array(F.lit("$.start"), F.lit("$.end")), lambda p: F.get_json_object(x, "$.start").rlike(r"^-?\d+$"))
-        quoted = F.schema_of_variant(v)
-        return F.struct(
-            start.cast("int").alias("start"), end.cast("int").alias("end"), F.try_variant_get(v, "$.entity_type", "string").alias("entity_type"),
-            (quoted.startswith("OBJECT<")).alias("object"),
-            (F.array_sort(F.json_object_keys(x)) == F.array(F.lit("end"), F.lit("entity_type"), F.lit("start"))).alias("fields"),
-            (whole & quoted.rlike(r"\bstart: BIGINT\b") & quoted.rlike(r"\bend: BIGINT\b")).alias("integers"),
-            quoted.rlike(r"\bentity_type: STRING\b").alias("named"),
-        )
-
-    spans = F.transform(items, item)
-    known = F.lit(True) if types is None else F.forall(spans, lambda s: s.entity_type.isin(*sorted(types)))
-    error = (
-        F.when(output.isNull() | valid.isNull(), _BROKEN)
-        .when(~F.schema_of_variant(valid).startswith("OBJECT<") | keys.isNull(), "output must be a JSON object")
-        .when(keys != F.array(F.lit("spans")), "output must contain only the 'spans' field")
-        .when(items.isNull() | ~F.schema_of_variant(F.variant_get(valid, "$.spans", "variant")).startswith("ARRAY<"), "'spans' must be a JSON array")
-        .when(~F.forall(spans, lambda s: F.coalesce(s["object"], F.lit(False))), "a span must be a JSON object")
-        .when(~F.forall(spans, lambda s: F.coalesce(s["fields"], F.lit(False))), "a span must contain only start, end, and entity_type")
-        .when(~F.forall(spans, lambda s: F.coalesce(s["integers"], F.lit(False))), "span offsets must be integers")
-        .when(~F.forall(spans, lambda s: F.coalesce((s.start >= 0) & (s.end > s.start) & (s.end <= F.length(text)), F.lit(False))), "a span has invalid source offsets")
-        .when(~F.forall(spans, lambda s: F.coalesce(s["named"] & (trimmed(s.entity_type) != ""), F.lit(False))), "a span must have a non-empty entity type")
-        .when(~F.forall(spans, lambda s: trimmed(s.entity_type) == s.entity_type), "an entity type must not contain outer white space")
-        .when(~F.coalesce(known, F.lit(False)), "a span has an unsupported entity type")
-        .when((F.size(spans) > 1) & F.exists(F.sequence(F.lit(1), F.size(spans) - 1), lambda i: F.get(spans, i)["start"] < F.get(spans, i - 1)["start"]), "spans must be in ascending source order")
-        .when((F.size(spans) > 1) & F.exists(F.sequence(F.lit(1), F.size(spans) - 1), lambda i: F.get(spans, i)["start"] < F.get(spans, i - 1)["end"]), "a span overlaps a previous span")
-    )
-    plain = F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.entity_type.alias("entity_type"), F.lit(None).cast("double").alias("score")))
-    return F.when(error.isNull(), plain), error
+        def read(v: Column) -> Column:
+            kind = F.schema_of_variant(v)
+            return F.struct(
+                F.try_variant_get(v, "$.start", "int").alias("start"), F.try_variant_get(v, "$.end", "int").alias("end"), F.try_variant_get(v, "$.entity_type", "string").alias("entity_type"),
+                F.coalesce(kind.startswith("OBJECT<"), F.lit(False)).alias("object"),
+                F.coalesce(F.array_sort(F.json_object_keys(x)) == F.array(F.lit("end"), F.lit("entity_type"), F.lit("start")), F.lit(False)).alias("fields"),
+                F.coalesce(kind.rlike(r"\bstart: BIGINT\b") & kind.rlike(r"\bend: BIGINT\b"), F.lit(False)).alias("integers"),
+                F.coalesce(kind.rlike(r"\bentity_type: STRING\b"), F.lit(False)).alias("named"),
+            )
+
+        return let(F.try_parse_json(x), read)
+
+    def bad(spans: Column, rule) -> Column:
+        return F.exists(spans, lambda s: ~F.coalesce(rule(s), F.lit(False)))
+
+    def neighbours(spans: Column, rule) -> Column:
+        pairs = F.zip_with(spans, F.slice(spans, F.lit(2), F.greatest(F.size(spans) - 1, F.lit(0))), lambda a, b: F.coalesce(rule(a, b), F.lit(False)))
+        return F.exists(pairs, lambda x: x)
+
+    def judged(top: Column, spans: Column) -> Column:
+        error = (
+            F.when(output.isNull() | top.isNull(), "output must be valid JSON").when(~top.startswith("OBJECT<"), "output must be a JSON object")
+            .when(F.coalesce(keys != F.array(F.lit("spans")), F.lit(True)), "output must contain only the 'spans' field")
+            .when(~top.startswith("OBJECT<spans: ARRAY<") | spans.isNull(), "'spans' must be a JSON array")
+            .when(bad(spans, lambda s: s["object"]), "a span must be a JSON object")
+            .when(bad(spans, lambda s: s["fields"]), "a span must contain only start, end, and entity_type")
+            .when(bad(spans, lambda s: s["integers"]), "span offsets must be integers")
+            .when(bad(spans, lambda s: (s.start >= 0) & (s.end > s.start) & (s.end <= F.length(text))), "a span has invalid source offsets")
+            .when(bad(spans, lambda s: s["named"] & (trimmed(s.entity_type) != "")), "a span must have a non-empty entity type")
+            .when(bad(spans, lambda s: trimmed(s.entity_type) == s.entity_type), "an entity type must not contain outer white space")
+            .when(F.lit(False) if types is None else bad(spans, lambda s: s.entity_type.isin(*sorted(types))), "a span has an unsupported entity type")
+            .when(neighbours(spans, lambda a, b: b.start < a.start), "spans must be in ascending source order")
+            .when(neighbours(spans, lambda a, b: b.start < a.end), "a span overlaps a previous span")
+        )
+        plain = F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.entity_type.alias("entity_type"), F.lit(None).cast("double").alias("score")))
+        return let(error, lambda e: F.struct(F.when(e.isNull(), plain).alias("spans"), e.alias("error")))
+
+    return let(F.schema_of_variant(F.try_parse_json(output)), lambda top: let(F.transform(items, item), lambda spans: judged(top, spans)))
 
 
 def parse_list(text: str, output: str | None, types: set[str] | None = None) -> list[tuple[int, int, str, float | None]]:

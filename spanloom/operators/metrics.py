@@ -19,7 +19,7 @@ def joined(gold: DataFrame, predicted: DataFrame, key: str, strict: bool = True)
 
     Rows without predictions get none. Both sides must have unique keys.
     """
-    g, p = gold.withColumn("_g", F.lit(True)), predicted.select(F.col(key), "predictions")
+    g, p = gold.drop("predictions").withColumn("_g", F.lit(True)), predicted.select(F.col(key), "predictions")
     both = g.join(p, key, "full_outer" if strict else "left")
     if strict:
         both = both.filter(F.when(F.col("_g").isNull(), F.raise_error(F.lit("predictions for an unknown example"))).otherwise(F.lit(True)))
@@ -61,7 +61,7 @@ def dataset_score(measured: DataFrame, *by: str) -> DataFrame:
 def entity_recall(df: DataFrame, gold: str = "spans", predicted: str = "predictions") -> DataFrame:
     """``entity_type, gold, found, recall``: exact recall by gold type, repeated spans of a row counted once."""
     hits = F.array_distinct(bare(F.col(predicted)))
-    rows = df.select(F.explode(F.array_distinct(bare(F.col(gold)))).alias("s"), hits.alias("p"))
+    rows = df.select(F.explode_outer(F.array_distinct(bare(F.col(gold)))).alias("s"), hits.alias("p")).filter("p is not null")
     rows = rows.select(F.col("s.entity_type").alias("entity_type"), F.array_contains("p", F.col("s")).cast("long").alias("hit"))
     sums = rows.groupBy("entity_type").agg(F.count(F.lit(1)).alias("gold"), F.sum("hit").alias("found"))
     return sums.withColumn("recall", ratio(F.col("found"), F.col("gold")))
@@ -69,7 +69,7 @@ def entity_recall(df: DataFrame, gold: str = "spans", predicted: str = "predicti
 
 def prediction_correctness(df: DataFrame, key: str, gold: str = "spans", predicted: str = "predictions") -> DataFrame:
     """One row per prediction: ``key, start, end, entity_type, score, correct``; correct is an exact match."""
-    rows = df.select(key, bare(F.col(gold)).alias("g"), F.explode(predicted).alias("p"))
+    rows = df.select(key, bare(F.col(gold)).alias("g"), F.explode_outer(predicted).alias("p")).filter("p is not null")
     here = F.struct(F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.entity_type").alias("entity_type"))
     return rows.select(key, F.col("p.start").alias("span_start"), F.col("p.end").alias("span_end"), F.col("p.entity_type").alias("entity_type"), F.col("p.score").alias("score"), F.array_contains("g", here).alias("correct"))
 
@@ -77,7 +77,7 @@ def prediction_correctness(df: DataFrame, key: str, gold: str = "spans", predict
 def gold_errors(df: DataFrame, key: str, gold: str = "spans", predicted: str = "predictions") -> DataFrame:
     """One row per gold span without an exact prediction: ``key, span_start, span_end, entity_type, kind``."""
     kinds = F.transform(gold, lambda g: F.struct(g.start.alias("span_start"), g.end.alias("span_end"), g.entity_type.alias("entity_type"), error_kind(F.col("text"), g, F.col(predicted)).alias("kind")))
-    return df.select(key, F.explode(kinds).alias("e")).select(key, "e.*").filter("kind is not null")
+    return df.select(key, F.explode_outer(kinds).alias("e")).filter("e is not null").select(key, "e.*").filter("kind is not null")
 
 
 def error_counts(errors: DataFrame) -> DataFrame:
@@ -92,13 +92,13 @@ def error_samples(errors: DataFrame, key: str, k: int) -> DataFrame:
 
 def false_positive_rows(df: DataFrame, key: str, gold: str = "spans", predicted: str = "predictions") -> DataFrame:
     """One row per prediction that overlaps no gold span of its type."""
-    return df.select(key, F.explode(false_positives(F.col(gold), F.col(predicted))).alias("p")).select(key, F.col("p.start").alias("span_start"), F.col("p.end").alias("span_end"), F.col("p.entity_type").alias("entity_type"))
+    return df.select(key, F.explode_outer(false_positives(F.col(gold), F.col(predicted))).alias("p")).filter("p is not null").select(key, F.col("p.start").alias("span_start"), F.col("p.end").alias("span_end"), F.col("p.entity_type").alias("entity_type"))
 
 
 def lost_matches(before: DataFrame, after: DataFrame, key: str, gold: str = "spans", predicted: str = "predictions") -> DataFrame:
     """Gold spans that the first predictions hit exactly and the second don't."""
     def hits(df: DataFrame) -> DataFrame:
-        return df.select(key, F.explode(F.array_intersect(bare(F.col(gold)), bare(F.col(predicted)))).alias("s")).select(key, F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.entity_type").alias("entity_type"))
+        return df.select(key, F.explode_outer(F.array_intersect(bare(F.col(gold)), bare(F.col(predicted)))).alias("s")).filter("s is not null").select(key, F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.entity_type").alias("entity_type"))
 
     return hits(before).join(hits(after), [key, "span_start", "span_end", "entity_type"], "left_anti")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.chars import slice_text
-from ..functions.spans import above, adjacent_overlap, bare, in_order
+from ..functions.spans import above, adjacent_overlap, bare, in_order, let
 from .detect import regex_spans
 
 # The published confidence thresholds.
@@ -31,12 +31,14 @@ PROFILES = {
 
 def numbered(text: Column, spans: Column) -> Column:
     """Spans in order with ``placeholder`` and ``value``; numbers count spans of a type by position."""
-    o = in_order(bare(spans))
-    return F.transform(o, lambda s, i: F.struct(
-        s.start.alias("start"), s.end.alias("end"),
-        F.concat(F.lit("["), s.entity_type, F.lit("_"), F.size(F.filter(F.slice(o, F.lit(1), i + 1), lambda x: x.entity_type == s.entity_type)).cast("string"), F.lit("]")).alias("placeholder"),
-        slice_text(text, s.start, s.end).alias("value"),
-    ))
+    def mark(o: Column) -> Column:
+        return F.transform(o, lambda s, i: F.struct(
+            s.start.alias("start"), s.end.alias("end"),
+            F.concat(F.lit("["), s.entity_type, F.lit("_"), F.size(F.filter(F.slice(o, F.lit(1), i + 1), lambda x: x.entity_type == s.entity_type)).cast("string"), F.lit("]")).alias("placeholder"),
+            slice_text(text, s.start, s.end).alias("value"),
+        ))
+
+    return let(in_order(bare(spans)), mark)
 
 
 def replacement_error(text: Column, spans: Column) -> Column:
@@ -44,33 +46,41 @@ def replacement_error(text: Column, spans: Column) -> Column:
     return F.when(F.exists(spans, lambda s: s.end > F.length(text)), "span exceeds text length").when(adjacent_overlap(spans), "spans must not overlap")
 
 
-def replace_spans(text: Column, spans: Column) -> tuple[Column, Column]:
-    """``(redacted, mapping)``; both null where spans overlap or leave the text."""
-    marks = numbered(text, spans)
+def replace_spans(text: Column, spans: Column) -> Column:
+    """``struct<text, mapping, error>``: text and mapping are null where spans overlap or leave the text."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    joined = F.aggregate(
-        marks, start,
-        lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], slice_text(text, acc["at"], s["start"]), s["placeholder"]).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    good = replacement_error(text, spans).isNull()
-    mapping = F.transform(marks, lambda s: F.struct(s["placeholder"].alias("placeholder"), s["value"].alias("value")))
-    return F.when(good, joined), F.when(good, mapping)
 
+    def joined(marks: Column) -> Column:
+        return F.aggregate(
+            marks, start,
+            lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], slice_text(text, acc["at"], s["start"]), s["placeholder"]).alias("out")),
+            lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
+        )
+
+    def done(error: Column) -> Column:
+        def both(marks: Column) -> Column:
+            mapping = F.transform(marks, lambda s: F.struct(s["placeholder"].alias("placeholder"), s["value"].alias("value")))
+            return F.struct(F.when(error.isNull(), joined(marks)).alias("text"), F.when(error.isNull(), mapping).alias("mapping"), error.alias("error"))
+
+        return let(numbered(text, spans), both)
 
-def restore(text: Column, mapping: Column) -> tuple[Column, Column]:
-    """``(restored, error)``: values put back in order; each placeholder must occur exactly once in the text so far."""
-    start = F.struct(text.alias("t"), F.lit(None).cast("string").alias("e"))
+    return let(replacement_error(text, spans), done)
+
+
+def restore(text: Column, mapping: Column) -> Column:
+    """``struct<text, error>``: values put back in order; each placeholder must occur exactly once in the text so far."""
+    none = F.lit(None).cast("string")
+    start = F.struct(text.alias("text"), none.alias("error"))
 
     def step(acc: Column, m: Column) -> Column:
-        n = (F.length(acc["t"]) - F.length(F.replace(acc["t"], m["placeholder"], F.lit("")))) / F.length(m["placeholder"])
-        bad = F.coalesce(n, F.lit(0)) != 1
-        message = F.concat(F.lit("placeholder "), m["placeholder"], F.lit(" must occur exactly once"))
-        done = F.struct(F.replace(acc["t"], m["placeholder"], m["value"]).alias("t"), F.lit(None).cast("string").alias("e"))
-        return F.when(acc["e"].isNotNull(), acc).when(bad, F.struct(acc["t"].alias("t"), message.alias("e"))).otherwise(done)
+        def once(rest: Column) -> Column:  # the text without the placeholder
+            n = F.length(acc["text"]) - F.length(rest)
+            message = F.concat(F.lit("placeholder "), m["placeholder"], F.lit(" must occur exactly once"))
+            return F.when(n != F.length(m["placeholder"]), F.struct(none.alias("text"), message.alias("error"))).otherwise(F.struct(F.replace(acc["text"], m["placeholder"], m["value"]).alias("text"), none.alias("error")))
+
+        return F.when(acc["error"].isNotNull(), acc).otherwise(let(F.replace(acc["text"], m["placeholder"], F.lit("")), once))
 
-    end = F.aggregate(mapping, start, step)
-    return F.when(end["e"].isNull(), end["t"]), end["e"]
+    return F.aggregate(mapping, start, step)
 
 
 def load_thresholds(mode: str = "balanced", path: str | None = None) -> dict[str, float]:
@@ -106,17 +116,17 @@ class Scrubber:
     def scrub(self, df: DataFrame, text: str = "text", entities: set[str] | None = None) -> DataFrame:
         """``df`` with ``spans``, ``redacted_text``, ``mapping``; a narrow plan that also runs on streams."""
         found = df.withColumn("spans", self.spans(F.col(text), entities))
-        redacted, mapping = replace_spans(F.col(text), F.col("spans"))
-        return found.withColumns({"redacted_text": redacted, "mapping": mapping})
+        done = found.withColumn("_r", replace_spans(F.col(text), F.col("spans")))
+        return done.withColumns({"redacted_text": F.col("_r.text"), "mapping": F.col("_r.mapping")}).drop("_r")
 
     def restore(self, df: DataFrame, redacted: str = "redacted_text", mapping: str = "mapping") -> DataFrame:
-        text, error = restore(F.col(redacted), F.col(mapping))
-        return df.withColumns({"restored_text": text, "restore_error": error})
+        done = df.withColumn("_r", restore(F.col(redacted), F.col(mapping)))
+        return done.withColumns({"restored_text": F.col("_r.text"), "restore_error": F.col("_r.error")}).drop("_r")
 
 
 def long_mapping(df: DataFrame, doc: str, text: str, spans: str) -> DataFrame:
     """One row per span with its placeholder, numbered by a window over document and type."""
-    rows = df.select(F.col(doc).alias("doc"), F.col(text).alias("t"), F.explode(spans).alias("s"))
+    rows = df.select(F.col(doc).alias("doc"), F.col(text).alias("t"), F.explode_outer(spans).alias("s")).filter("s is not null")
     w = Window.partitionBy("doc", "s.entity_type").orderBy("s.start", "s.end")
     n = F.row_number().over(w)
     mark = F.concat(F.lit("["), F.col("s.entity_type"), F.lit("_"), n.cast("string"), F.lit("]"))

@@ -1,9 +1,526 @@
-"""Every query of the core, with its SQL."""
+"""Every query of the core with its SQL.
 
+Queries read whole tables. Arrays are taken apart by explode_outer and a filter on
+the result: a plain explode lets the optimizer infer a filter that works the whole
+array expression out once more. Three recipes supply gold and predicted spans:
 
-def queries():
-    return {}
+* annotated rows of ``dataset_examples`` whose spans are usable, with
+  ``window_predictions`` as predictions (A);
+* spans made from ``lineitem``, an order being a document (L);
+* rows of ``lineitem`` as predictions of overlapping windows (W).
+"""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.spans import bare, in_order, merge_fragments, merge_windows, distinct_windows, valid_bounds, adjacent_overlap
+from ..operators import audit, bio, calibrate, datasets, detect, metrics, normalize, redact, taxonomy
+from ..sources import jsonl
+from ..sources.tables import table
+from . import oracle
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def _query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: q for k, q in oracle.sql().items() if k in _QUERIES}
+
+
+# ---- inputs
+
+
+def _docs(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents")
+
+
+def _annotated(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of dataset_examples whose spans are usable: in bounds, apart, sorted."""
+    df = table(spark, folder, "dataset_examples").filter("spans is not null and text is not null")
+    spans = in_order(bare(F.col("spans")))
+    ok = valid_bounds(F.col("spans"), F.length("text")) & ~adjacent_overlap(F.col("spans"))
+    return df.filter(ok).withColumn("spans", spans)
+
+
+def _windows(spark: SparkSession, folder: str) -> DataFrame:
+    """``row_id, windows`` of window_predictions."""
+    s = F.struct("window_index", F.col("span_start").alias("start"), F.col("span_end").alias("end"), "entity_type", "score")
+    return table(spark, folder, "window_predictions").groupBy("row_id").agg(F.array_sort(F.collect_list(s)).alias("windows"))
+
+
+def _predicted(spark: SparkSession, folder: str) -> DataFrame:
+    """Annotated rows with their merged window predictions; a row without windows has none."""
+    merged = F.transform(merge_windows(F.col("windows")), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.entity_type.alias("entity_type"), s.score.alias("score")))
+    preds = _windows(spark, folder).select("row_id", merged.alias("predictions"))
+    rows = metrics.joined(_annotated(spark, folder), preds, "row_id", strict=False)
+    return rows.withColumn("predictions", F.filter("predictions", lambda s: s.end <= F.length("text")))
+
+
+def _lineitem(spark: SparkSession, folder: str, name: str, query: str) -> DataFrame:
+    view = f"lineitem_{abs(hash(folder)) % 10**9}"
+    table(spark, folder, "lineitem").createOrReplaceTempView(view)
+    return spark.sql(query.replace("FROM lineitem", f"FROM {view}"))
+
+
+def _long_gold(spark: SparkSession, folder: str) -> DataFrame:
+    return _lineitem(spark, folder, "gold", oracle.GOLD)
+
+
+def _long_pred(spark: SparkSession, folder: str) -> DataFrame:
+    return _lineitem(spark, folder, "pred", f"WITH gold AS ({oracle.GOLD}), pred AS ({oracle.PRED}) SELECT * FROM pred")
+
+
+def _recipe(spark: SparkSession, folder: str) -> DataFrame:
+    """The L recipe with arrays: ``doc_id, text, spans, predictions``; texts are 400 blanks."""
+    s = F.struct(F.col("s").cast("int").alias("start"), F.col("e").cast("int").alias("end"), F.col("ty").alias("entity_type"))
+    p = F.struct(F.col("s").cast("int").alias("start"), F.col("e").cast("int").alias("end"), F.col("ty").alias("entity_type"), F.col("score"))
+    gold = _long_gold(spark, folder).groupBy("doc_id").agg(F.array_sort(F.collect_list(s)).alias("spans"))
+    pred = _long_pred(spark, folder).groupBy("doc_id").agg(F.array_sort(F.collect_list(p)).alias("predictions"))
+    return metrics.joined(gold, pred, "doc_id").withColumn("text", F.lit(" " * 400))
+
+
+def _w_recipe(spark: SparkSession, folder: str) -> DataFrame:
+    s = F.struct("window_index", F.col("s").alias("start"), F.col("e").alias("end"), F.col("ty").alias("entity_type"), "score")
+    return _lineitem(spark, folder, "w", oracle.WINDOWS).groupBy("doc_id").agg(F.array_sort(F.collect_list(s)).alias("windows"))
+
+
+def _exploded(df: DataFrame, key: str, spans: str) -> DataFrame:
+    return df.select(key, F.explode_outer(spans).alias("s")).filter("s is not null").select(key, F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.entity_type").alias("entity_type"))
+
+
+# ---- detection and resolution
+
+
+def _detect(kind: str) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        docs = _docs(spark, folder).select("doc_id", detect.regex_spans(F.col("text"), {kind}).alias("found"))
+        return _exploded(docs, "doc_id", "found")
+
+    return run
+
+
+_QUERIES |= {"detect_email": _detect("EMAIL"), "detect_phone": _detect("PHONE"), "detect_ip": _detect("IP_ADDRESS")}
+
+
+@_query
+def detect_resolved(spark, folder):
+    docs = _docs(spark, folder).select("doc_id", detect.regex_spans(F.col("text")).alias("found"))
+    return _exploded(docs, "doc_id", "found")
+
+
+@_query
+def redact_documents(spark, folder):
+    out = redact.Scrubber().scrub(_docs(spark, folder))
+    return out.select("doc_id", "redacted_text", F.size("spans").alias("n_spans"))
+
+
+@_query
+def redaction_mapping(spark, folder):
+    out = _docs(spark, folder).withColumn("found", detect.regex_spans(F.col("text"), {"EMAIL", "IP_ADDRESS"}))
+    return redact.long_mapping(out, "doc_id", "text", "found")
+
+
+@_query
+def restore_roundtrip(spark, folder):
+    s = redact.Scrubber()
+    out = s.restore(s.scrub(_docs(spark, folder)))
+    return out.select("doc_id", "restored_text", F.coalesce(F.col("restored_text") == F.col("text"), F.col("text").isNull()).alias("same"))
+
+
+@_query
+def redact_annotated(spark, folder):
+    rows = _annotated(spark, folder)
+    return rows.select("row_id", redact.replace_spans(F.col("text"), F.col("spans"))["text"].alias("redacted_text"))
+
+
+@_query
+def span_values(spark, folder):
+    rows = _annotated(spark, folder).select("row_id", "text", F.explode_outer("spans").alias("s")).filter("s is not null")
+    return rows.select("row_id", F.col("s.entity_type").alias("entity_type"), F.expr("substring(text, s.start + 1, s.end - s.start)").alias("value"), F.expr("s.end - s.start").alias("n"))
+
+
+def _thresholds(mode: str) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        s = F.struct(F.col("span_start").alias("start"), F.col("span_end").alias("end"), "entity_type", "score")
+        from ..functions.spans import above
+
+        rows = table(spark, folder, "window_predictions").select("row_id", "window_index", F.array(s).alias("p"))
+        kept = rows.select("row_id", "window_index", F.explode_outer(above(F.col("p"), redact.load_thresholds(mode))).alias("s")).filter("s is not null")
+        return kept.select("row_id", "window_index", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.entity_type").alias("entity_type"), F.col("s.score").alias("score"))
+
+    return run
+
+
+_QUERIES |= {"threshold_filter_balanced": _thresholds("balanced"), "threshold_filter_strict": _thresholds("strict")}
+
+
+@_query
+def window_dedup(spark, folder):
+    kept = _w_recipe(spark, folder).select("doc_id", F.explode_outer(distinct_windows(F.col("windows"))).alias("s")).filter("s is not null")
+    return kept.select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.entity_type").alias("entity_type"), F.col("s.window_index").alias("window_index"), F.col("s.score").alias("score"))
+
+
+@_query
+def window_merge(spark, folder):
+    kept = _w_recipe(spark, folder).select("doc_id", F.explode_outer(merge_windows(F.col("windows"))).alias("s")).filter("s is not null")
+    return kept.select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.entity_type").alias("entity_type"), F.col("s.score").alias("score"))
+
+
+@_query
+def window_predictions_merged(spark, folder):
+    return _exploded(_predicted(spark, folder), "row_id", "predictions")
+
+
+@_query
+def fragment_merge(spark, folder):
+    """PERSON spans cut at their first blank grow together again."""
+    parts = F.expr("""flatten(transform(spans, x -> CASE
+        WHEN x.entity_type = 'PERSON' AND locate(' ', substring(text, x.start + 1, x.end - x.start)) > 1 AND locate(' ', substring(text, x.start + 1, x.end - x.start)) < x.end - x.start
+        THEN array(named_struct('start', x.start, 'end', x.start + locate(' ', substring(text, x.start + 1, x.end - x.start)) - 1, 'entity_type', x.entity_type, 'score', 0.5D),
+                   named_struct('start', x.start + locate(' ', substring(text, x.start + 1, x.end - x.start)), 'end', x.end, 'entity_type', x.entity_type, 'score', 1.0D))
+        ELSE array(named_struct('start', x.start, 'end', x.end, 'entity_type', x.entity_type, 'score', 0.75D)) END))""")
+    rows = _annotated(spark, folder).withColumn("parts", parts).select("row_id", "text", F.explode_outer(merge_fragments(F.col("text"), F.col("parts"), {"PERSON"})).alias("s")).filter("s is not null")
+    return rows.groupBy("row_id").agg(F.count(F.lit(1)).alias("spans"), F.sum(F.expr("s.end - s.start").cast("long")).alias("characters"))
+
+
+# ---- metrics
+
+
+@_query
+def exact_prf(spark, folder):
+    s = metrics.dataset_score(metrics.document_measures(_recipe(spark, folder)))
+    return s.select("gold", "predicted", "exact_tp", "exact_fp", "exact_fn", "exact_precision", "exact_recall", "exact_f1")
+
+
+@_query
+def leak_rate(spark, folder):
+    return metrics.dataset_score(metrics.document_measures(_recipe(spark, folder))).select("gold", "leaked", "leak_rate")
+
+
+@_query
+def over_redaction(spark, folder):
+    return metrics.dataset_score(metrics.document_measures(_recipe(spark, folder))).select("fp_chars", "non_pii", "over_redaction_rate")
+
+
+@_query
+def partial_prf(spark, folder):
+    s = metrics.dataset_score(metrics.document_measures(_recipe(spark, folder)))
+    return s.select("partial_tp", "partial_fp", "partial_fn", "partial_precision", "partial_recall", "partial_f1")
+
+
+@_query
+def document_scores(spark, folder):
+    """Measures of every annotated row against its merged window predictions."""
+    return metrics.document_measures(_predicted(spark, folder)).select("row_id", "n_gold", "n_pred", "exact_tp", "partial_tp", "leaked", "fp_chars", "non_pii")
+
+
+@_query
+def scores_by_source(spark, folder):
+    s = metrics.dataset_score(metrics.document_measures(_predicted(spark, folder)), "source")
+    return s.select("source", "examples", "gold", "predicted", "exact_tp", "leaked", "exact_f1", "leak_rate", "over_redaction_rate")
+
+
+@_query
+def per_entity_recall(spark, folder):
+    return metrics.entity_recall(_recipe(spark, folder))
+
+
+@_query
+def prediction_correctness(spark, folder):
+    rows = metrics.prediction_correctness(_recipe(spark, folder), "doc_id")
+    return rows.groupBy("entity_type", "correct").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def error_kinds(spark, folder):
+    return metrics.error_counts(metrics.gold_errors(_recipe(spark, folder), "doc_id"))
+
+
+@_query
+def error_rows(spark, folder):
+    return metrics.gold_errors(_predicted(spark, folder), "row_id")
+
+
+@_query
+def error_samples(spark, folder):
+    return metrics.error_samples(metrics.gold_errors(_recipe(spark, folder), "doc_id"), "doc_id", 3)
+
+
+@_query
+def false_positives(spark, folder):
+    return metrics.false_positive_rows(_recipe(spark, folder), "doc_id")
+
+
+@_query
+def lost_matches(spark, folder):
+    """Exact hits of all predictions that those scored 0.5 or more lose."""
+    rows = _recipe(spark, folder)
+    return metrics.lost_matches(rows, rows.withColumn("predictions", F.filter("predictions", lambda s: s.score >= 0.5)), "doc_id")
+
+
+# ---- calibration and thresholds
+
+
+@_query
+def ece_global(spark, folder):
+    rows = metrics.prediction_correctness(_recipe(spark, folder), "doc_id")
+    return calibrate.calibration_error(rows).select("predictions", F.round("ece", 6).alias("ece"))
+
+
+@_query
+def ece_by_entity(spark, folder):
+    rows = metrics.prediction_correctness(_recipe(spark, folder), "doc_id")
+    return calibrate.calibration_error(rows, "entity_type").select("entity_type", "predictions", F.round("ece", 6).alias("ece"))
+
+
+@_query
+def ece_hundred_bins(spark, folder):
+    scored = _lineitem(spark, folder, "h", oracle.HUNDREDTHS)
+    return calibrate.calibration_error(scored, bins=100).select("predictions", F.round("ece", 6).alias("ece"))
+
+
+@_query
+def threshold_sweep(spark, folder):
+    return calibrate.sweep_thresholds(_recipe(spark, folder), calibrate.threshold_grid())
+
+
+@_query
+def best_threshold(spark, folder):
+    """The global threshold with the best F1, the higher one of equals."""
+    sweep = calibrate.sweep_thresholds(_recipe(spark, folder), calibrate.threshold_grid())
+    return sweep.orderBy(F.desc("f1"), F.desc("threshold")).limit(1).select("threshold", "f1")
+
+
+@_query
+def profile_scores(spark, folder):
+    """Scores of the raw predictions and of both published profiles."""
+    rows = _predicted(spark, folder)
+    out = None
+    for name, profile in (("raw", {}), ("balanced", redact.load_thresholds("balanced")), ("strict", redact.load_thresholds("strict"))):
+        one = calibrate.score_profile(rows, profile).select(F.lit(name).alias("profile"), "predicted", "exact_tp", "leaked", "exact_f1", "leak_rate", "over_redaction_rate")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _search(mode: str) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        profile, _ = calibrate.optimize_profile(_recipe(spark, folder), ["A", "N", "R"], calibrate.threshold_grid(0.25), 0.5, mode)
+        return spark.createDataFrame(sorted(profile.items()), "entity_type string, threshold double")
+
+    return run
+
+
+_QUERIES |= {"profile_search_balanced": _search("balanced"), "profile_search_strict": _search("strict")}
+
+
+# ---- data sets
+
+
+@_query
+def dataset_statistics(spark, folder):
+    return datasets.statistics(table(spark, folder, "dataset_examples"))
+
+
+@_query
+def dataset_counts(spark, folder):
+    return datasets.count_rows(table(spark, folder, "dataset_examples"), source="source", language="language")
+
+
+@_query
+def entity_counts_by_source_lang(spark, folder):
+    found = _docs(spark, folder).select("source", "lang", F.explode_outer(detect.regex_spans(F.col("text"))).alias("s")).filter("s is not null")
+    return found.groupBy("source", "lang", F.col("s.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def repeated_ids(spark, folder):
+    return datasets.repeated_ids(table(spark, folder, "dataset_examples"), "example_id")
+
+
+@_query
+def sample_rows(spark, folder):
+    return datasets.sample(table(spark, folder, "dataset_examples"), "row_id", 500).select("row_id", "place")
+
+
+@_query
+def split_rows(spark, folder):
+    return datasets.split(table(spark, folder, "dataset_examples"), "row_id", 400, 300).select("row_id", "part")
+
+
+@_query
+def text_length_percentiles(spark, folder):
+    rows = _docs(spark, folder).select(F.length("text").alias("n"))
+    return datasets.percentiles(rows, "n", [0.0, 0.5, 0.95, 0.99, 1.0])
+
+
+@_query
+def texts_over_limits(spark, folder):
+    rows = _docs(spark, folder).select(F.length("text").alias("n"))
+    return datasets.over_limits(rows, "n", [512, 1024, 2048, 4096])
+
+
+# ---- audits
+
+
+@_query
+def exact_duplicates(spark, folder):
+    return audit.duplicate_stats(table(spark, folder, "dataset_examples"))
+
+
+@_query
+def normalized_duplicates(spark, folder):
+    return audit.duplicate_stats(table(spark, folder, "dataset_examples"), folded=True)
+
+
+@_query
+def duplicate_samples(spark, folder):
+    return audit.duplicate_samples(table(spark, folder, "dataset_examples"), "row_id")
+
+
+@_query
+def value_overlap(spark, folder):
+    return audit.value_overlap(_annotated(spark, folder))
+
+
+def _perturb(name: str) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        rows = audit.perturb(_annotated(spark, folder), [name])
+        return rows.select("row_id", F.length("perturbed_text").alias("n"), F.explode_outer("perturbed_spans").alias("s")).select("row_id", "n", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
+
+    return run
+
+
+_QUERIES |= {f"perturb_{n}": _perturb(n) for n in audit.PERTURBATIONS}
+
+
+@_query
+def long_context(spark, folder):
+    rows = audit.prefixed(_annotated(spark, folder), 480)
+    return rows.select("row_id", F.length("perturbed_text").alias("n"), F.explode_outer("perturbed_spans").alias("s")).filter("s is not null").select("row_id", "n", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
+
+
+@_query
+def robustness_regex(spark, folder):
+    """How the pattern detector fares on perturbed annotated texts."""
+    rows = _annotated(spark, folder).select("row_id", "text", F.filter("spans", lambda s: s.entity_type.isin("EMAIL", "PHONE", "IP_ADDRESS")).alias("spans"))
+    return audit.robustness(rows, detect.regex_spans, prefixes=(480, 560))
+
+
+# ---- sequence labels
+
+
+@_query
+def bio_encode(spark, folder):
+    rows = _annotated(spark, folder).select("row_id", F.explode_outer(bio.words_and_bio(F.col("text"), F.col("spans"))).alias("w")).filter("w is not null")
+    return rows.groupBy(F.col("w.label").alias("label")).agg(F.count(F.lit(1)).alias("words"))
+
+
+@_query
+def bio_decode(spark, folder):
+    """Labels of annotated words decoded again; spans come back but for blanks at their ends."""
+    rows = _annotated(spark, folder).withColumn("w", bio.words_and_bio(F.col("text"), F.col("spans")))
+    offsets = F.transform("w", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    rows = rows.select("row_id", bio.strict_spans(offsets, F.transform("w", lambda x: x["label"]))["spans"].alias("found"))
+    return _exploded(rows, "row_id", "found")
+
+
+@_query
+def bio_lenient(spark, folder):
+    rows = _annotated(spark, folder).withColumn("w", bio.words_and_bio(F.col("text"), F.col("spans")))
+    offsets = F.transform("w", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    labels = F.transform("w", lambda x: F.replace(x["label"], F.lit("B-"), F.lit("I-")))
+    found = bio.token_spans(offsets, labels, F.transform("w", lambda x: F.lit(0.5)))
+    rows = rows.select(F.explode_outer(found).alias("s")).filter("s is not null")
+    return rows.groupBy(F.col("s.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("spans"), F.sum(F.expr("s.end - s.start").cast("long")).alias("characters"))
+
+
+@_query
+def label_ids(spark, folder):
+    return bio.label_mapping(table(spark, folder, "dataset_examples").filter("spans is not null"))
+
+
+@_query
+def located_words(spark, folder):
+    words = F.transform(bio.text_words(F.col("text")), lambda w: w["word"])
+    rows = table(spark, folder, "examples").select("id", F.explode_outer(bio.locate_words(F.col("text"), words)).alias("w")).filter("w is not null")
+    return rows.select("id", F.col("w.word").alias("word"), F.col("w.start").alias("word_start"), F.col("w.end").alias("word_end"))
+
+
+@_query
+def chat_targets(spark, folder):
+    return _annotated(spark, folder).select("row_id", normalize.chat_target(F.col("spans")).alias("target"))
+
+
+@_query
+def chat_messages(spark, folder):
+    rows = _annotated(spark, folder).select("row_id", F.explode_outer(normalize.chat_messages(F.col("text"), F.col("spans"))).alias("m")).filter("m is not null")
+    return rows.select("row_id", F.col("m.role").alias("role"), F.length("m.content").alias("n"))
+
+
+@_query
+def parsed_outputs(spark, folder):
+    """Chat targets of all annotated rows, bad ones included, parsed strictly."""
+    rows = table(spark, folder, "dataset_examples").filter("spans is not null and text is not null").withColumn("output", normalize.chat_target(F.col("spans")))
+    rows = rows.withColumn("r", detect.parse_object_output(F.col("text"), F.col("output")))
+    return rows.select("row_id", F.when(F.col("r.error").isNull(), F.size("r.spans")).alias("n_spans"), F.col("r.error").isNull().alias("ok"))
+
+
+# ---- sources
+
+
+@_query
+def example_lines_parsed(spark, folder):
+    rows = table(spark, folder, "example_lines").select("line_id", *jsonl.parse_example(F.col("line")))
+    return rows.select("line_id", "example_id", F.length("text").alias("n"), "source", "language")
+
+
+@_query
+def example_validity(spark, folder):
+    """Rows of dataset_examples by the first rule of a normalised example they break."""
+    spans = bare(F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int,entity_type:string>>)")))
+    error = normalize.example_error(F.col("example_id"), F.col("text"), spans, F.col("source"), F.col("language"))
+    return table(spark, folder, "dataset_examples").select(error.alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def example_json(spark, folder):
+    c = F.col
+    return _annotated(spark, folder).select("row_id", jsonl.example_json(c("example_id"), c("text"), c("spans"), c("source"), c("language")).alias("line"))
+
+
+@_query
+def hand_labelled_summary(spark, folder):
+    """Labels of the hand-labelled rows under the shared taxonomy."""
+    rows = table(spark, folder, "examples").select(F.explode_outer("spans").alias("s")).filter("s is not null")
+    return rows.groupBy(taxonomy.normalized_label(F.col("s.label")).alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def hand_labelled_loaded(spark, folder):
+    ok, _ = normalize.route(normalize.hand_labelled(table(spark, folder, "examples")))
+    return ok.select("example_id", F.size("spans").alias("n_spans"), F.length("text").alias("n"))
+
+
+@_query
+def label_audit(spark, folder):
+    return taxonomy.audit_labels(spark, {"openpii": taxonomy.OPENPII_LABELS, "gretel": taxonomy.GRETEL_LABELS, "made_up": ["EMAIL", "SHOE_SIZE"]})
+
+
+@_query
+def label_totals(spark, folder):
+    """Types of annotated spans outside the shared taxonomy."""
+    types = table(spark, folder, "dataset_examples").select(F.explode_outer("spans").alias("s")).filter("s is not null").groupBy(F.col("s.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
+    return types.withColumn("known", F.col("entity_type").isin(*taxonomy.TYPES))
