@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from . import perplexity
 from .canon import consistent_form, lookalike_pairs
 from .language import fit, language_cases, languages
 from .layout import kept_lines, layout_copies
@@ -115,6 +116,13 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     return repetition(table(spark, folder, "documents"))
 
 
+def p10_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    """Perplexity of every document under a model of all, and whether it leaves its language's band."""
+    docs = table(spark, folder, "documents")
+    out = perplexity.banded(perplexity.perplexities(docs, perplexity.fit(docs)))
+    return out.select("doc_id", "language", "words", "perplexity", "rejected")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
