@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import spread
+from ..sources.tables import table as stored
 from . import perplexity
 from .canon import consistent_form, lookalike_pairs
 from .language import fit, language_cases, languages
@@ -19,6 +20,11 @@ from .repeats import repetition, repetitive
 from .split import split_oversized
 from .tokens import encode_corpus, token_counts, token_sizes
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table over all cores, as every operator here works hard by row."""
+    return spread(stored(spark, folder, name))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
