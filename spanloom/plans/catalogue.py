@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.spans import bare, in_order, merge_fragments, merge_windows, distinct_windows, valid_bounds, adjacent_overlap
 from ..operators import audit, bio, calibrate, datasets, detect, metrics, normalize, redact, taxonomy
 from ..sources import jsonl
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,12 +44,12 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"))
 
 
 def _annotated(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of dataset_examples whose spans are usable: in bounds, apart, sorted."""
-    df = table(spark, folder, "dataset_examples").filter("spans is not null and text is not null")
+    df = spread(table(spark, folder, "dataset_examples")).filter("spans is not null and text is not null")
     spans = in_order(bare(F.col("spans")))
     ok = valid_bounds(F.col("spans"), F.length("text")) & ~adjacent_overlap(F.col("spans"))
     return df.filter(ok).withColumn("spans", spans)
@@ -473,7 +473,7 @@ def chat_messages(spark, folder):
 @_query
 def parsed_outputs(spark, folder):
     """Chat targets of all annotated rows, bad ones included, parsed strictly."""
-    rows = table(spark, folder, "dataset_examples").filter("spans is not null and text is not null").withColumn("output", normalize.chat_target(F.col("spans")))
+    rows = spread(table(spark, folder, "dataset_examples")).filter("spans is not null and text is not null").withColumn("output", normalize.chat_target(F.col("spans")))
     rows = rows.withColumn("r", detect.parse_object_output(F.col("text"), F.col("output")))
     return rows.select("row_id", F.when(F.col("r.error").isNull(), F.size("r.spans")).alias("n_spans"), F.col("r.error").isNull().alias("ok"))
 
