@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.ratios import prf, ratio
-from ..functions.spans import above
+from ..functions.spans import above, let
 from ..plans.written import written
-from .metrics import dataset_score, document_measures
+from .metrics import dataset_score, document_measures, measures
 
 
 def threshold_grid(step: float = 0.05) -> list[float]:
@@ -50,11 +51,44 @@ def calibration_error(rows: DataFrame, *by: str, bins: int = 10) -> DataFrame:
 
 
 def sweep_thresholds(df: DataFrame, thresholds: list[float], gold: str = "spans", predicted: str = "predictions") -> DataFrame:
-    """Scores at each global threshold. The few thresholds are exploded into each row, so nothing is joined."""
-    each = df.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
-    kept = each.withColumn(predicted, F.filter(predicted, lambda s: s.score.isNull() | (s.score >= F.col("threshold"))))
-    scored = dataset_score(document_measures(kept, gold, predicted), "threshold")
-    return scored.select("threshold", "leak_rate", F.col("exact_precision").alias("precision"), F.col("exact_recall").alias("recall"), F.col("exact_f1").alias("f1"), "over_redaction_rate", F.col("predicted").alias("predictions"))
+    """Scores at each global threshold; no rows give zeros.
+
+    A document's measures change only where one of its scores falls below the
+    threshold. So each is measured at the few steps its own scores fall in, the
+    changes are summed by step, and running sums over the steps give the scores:
+    one row per step leaves a task, however many thresholds there are.
+    """
+    grid = sorted({float(t) for t in thresholds})
+    if not grid or grid[0] < 0 or grid[-1] > 1:
+        raise ValueError("thresholds must be between 0 and 1")
+    top, g, p, n = len(grid), F.col(gold), F.col(predicted), F.length("text")
+    steps = F.array(*(F.lit(t) for t in grid))
+    moving = ["n_pred", "n_pred_distinct", "exact_tp", "leaked", "fp_chars"]
+    step_of = lambda s: F.size(F.filter(steps, lambda t: t <= s.score)) - 1
+    own = F.transform(F.filter(p, lambda s: s.score.isNotNull()), step_of)
+    levels = F.array_sort(F.array_distinct(F.concat(F.filter(own, lambda i: i >= 0), F.array(F.lit(top)))))
+
+    def at(level: Column) -> Column:
+        return F.filter(p, lambda s: s.score.isNull() | ((level < top) & (s.score >= F.get(steps, level))))
+
+    def point(level: Column) -> Column:
+        return let(at(level), lambda q: F.struct(level.alias("step"), *(c.alias(k) for k, c in measures(g, q, n).items() if k in moving)))
+
+    def changes(points: Column) -> Column:  # the last point keeps unscored spans only
+        above_ = F.concat(F.slice(points, F.lit(2), F.size(points) - 1), F.array(F.lit(None)))
+        return F.zip_with(points, above_, lambda x, y: F.struct(x["step"].alias("step"), *((x[k] - F.coalesce(y[k], F.lit(0))).cast("long").alias(k) for k in moving)))
+
+    fixed = measures(g, p, n)
+    docs = df.select(F.explode_outer(let(F.transform(levels, point), changes)).alias("d"), *(fixed[k].cast("long").alias(k) for k in ("n_gold", "n_gold_distinct", "non_pii")))
+    sums = docs.groupBy(F.col("d.step").alias("step")).agg(*(F.sum(f"d.{k}").alias(k) for k in moving), *(F.sum(F.when(F.col("d.step") == top, F.col(k))).alias(k) for k in ("n_gold", "n_gold_distinct", "non_pii")))
+    every = df.sparkSession.createDataFrame([(i, t) for i, t in enumerate([*grid, 2.0])], "step int, threshold double").join(sums, "step", "left")
+    down, whole = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()  # one row per step
+    run = lambda k: F.coalesce(F.sum(k).over(down), F.lit(0))
+    total = lambda k: F.coalesce(F.max(k).over(whole), F.lit(0))
+    r = every.select("step", "threshold", *(run(k).alias(k) for k in moving), *(total(k).alias(k) for k in ("n_gold", "n_gold_distinct", "non_pii"))).filter(F.col("step") < top)
+    c = F.col
+    scores = prf(c("exact_tp"), c("n_pred_distinct") - c("exact_tp"), c("n_gold_distinct") - c("exact_tp"))
+    return r.select("threshold", ratio(c("leaked"), c("n_gold")).alias("leak_rate"), *scores, ratio(c("fp_chars"), c("non_pii")).alias("over_redaction_rate"), c("n_pred").alias("predictions"))
 
 
 def score_profile(df: DataFrame, profile: dict[str, float], gold: str = "spans", predicted: str = "predictions") -> DataFrame:

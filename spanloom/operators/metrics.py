@@ -33,13 +33,18 @@ def document_measures(df: DataFrame, gold: str = "spans", predicted: str = "pred
     leaked, fp_chars, non_pii``; exact counts collapse repeated spans, partial
     ones and ``n_pred`` don't. Spans outside the text make the character measures null.
     """
-    g, p, n = F.col(gold), F.col(predicted), F.length("text") if length is None else length
+    found = measures(F.col(gold), F.col(predicted), F.length("text") if length is None else length)
+    return df.withColumns(found)
+
+
+def measures(g: Column, p: Column, n: Column) -> dict[str, Column]:
+    """The integer measures of one document by name."""
     inside = valid_bounds(bare(g), n) & valid_bounds(bare(p), n)
-    return df.withColumns({
+    return {
         "n_gold": F.size(g), "n_pred": F.size(p), "n_gold_distinct": F.size(F.array_distinct(bare(g))), "n_pred_distinct": F.size(F.array_distinct(bare(p))),
         "exact_tp": exact_hits(g, p), "partial_tp": partial_hits(g, p), "leaked": leaked(g, p),
         "fp_chars": F.when(inside, over_redacted(g, p)), "non_pii": F.when(inside, n - covered(g)),
-    })
+    }
 
 
 def dataset_score(measured: DataFrame, *by: str) -> DataFrame:

@@ -163,6 +163,19 @@ def test_calibration(spark):
     assert strict == {"PERSON": 0.0} and balanced == {"PERSON": 0.5} and s["exact_f1"] == 1.0
 
 
+def test_sweep_equals_scoring_each_threshold(spark):
+    rng = random.Random(3)
+    make = lambda n: [(a := rng.randrange(30), a + rng.randrange(1, 9), rng.choice("AB")) for _ in range(rng.randrange(n))]
+    rows = [("x" * 40, make(4), [(*s, rng.choice([None, 0.0, 0.33, 0.5, 1.0])) for s in make(6)]) for _ in range(40)]
+    df = spark.createDataFrame(rows, "text string, spans array<struct<start:int,end:int,entity_type:string>>, predictions array<struct<start:int,end:int,entity_type:string,score:double>>")
+    got = {r.threshold: r for r in calibrate.sweep_thresholds(df, [0.25, 0.0, 0.5, 1.0]).collect()}
+    assert sorted(got) == [0.0, 0.25, 0.5, 1.0]
+    for t, r in got.items():
+        s = calibrate.score_profile(df, {"A": t, "B": t}).first()
+        assert (r.predictions, r.leak_rate, r.f1, r.over_redaction_rate) == (s.predicted, s.leak_rate, s.exact_f1, s.over_redaction_rate)
+    assert calibrate.sweep_thresholds(df.limit(0), [0.5]).first().f1 == 0.0
+
+
 def test_audit(spark, one):
     E = "text string, spans array<struct<start:int,end:int,entity_type:string>>"
     t, s = one(("Call Alice now", [(5, 10, "PERSON")]), E, audit.perturbed(F.col("text"), F.col("spans"), audit.PERTURBATIONS["double_spaces"]))
