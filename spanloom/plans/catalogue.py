@@ -69,18 +69,16 @@ def _predicted(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("predictions", F.filter("predictions", lambda s: s.end <= F.length("text")))
 
 
-def _lineitem(spark: SparkSession, folder: str, name: str, query: str) -> DataFrame:
-    view = f"lineitem_{abs(hash(folder)) % 10**9}"
-    table(spark, folder, "lineitem").createOrReplaceTempView(view)
-    return spark.sql(query.replace("FROM lineitem", f"FROM {view}"))
+def _lineitem(spark: SparkSession, folder: str, query: str) -> DataFrame:
+    return spark.sql(query.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, folder, "lineitem"))
 
 
 def _long_gold(spark: SparkSession, folder: str) -> DataFrame:
-    return _lineitem(spark, folder, "gold", oracle.GOLD)
+    return _lineitem(spark, folder, oracle.GOLD)
 
 
 def _long_pred(spark: SparkSession, folder: str) -> DataFrame:
-    return _lineitem(spark, folder, "pred", f"WITH gold AS ({oracle.GOLD}), pred AS ({oracle.PRED}) SELECT * FROM pred")
+    return _lineitem(spark, folder, f"WITH gold AS ({oracle.GOLD}), pred AS ({oracle.PRED}) SELECT * FROM pred")
 
 
 def _recipe(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,7 +92,7 @@ def _recipe(spark: SparkSession, folder: str) -> DataFrame:
 
 def _w_recipe(spark: SparkSession, folder: str) -> DataFrame:
     s = F.struct("window_index", F.col("s").alias("start"), F.col("e").alias("end"), F.col("ty").alias("entity_type"), "score")
-    return _lineitem(spark, folder, "w", oracle.WINDOWS).groupBy("doc_id").agg(F.array_sort(F.collect_list(s)).alias("windows"))
+    return _lineitem(spark, folder, oracle.WINDOWS).groupBy("doc_id").agg(F.array_sort(F.collect_list(s)).alias("windows"))
 
 
 def _exploded(df: DataFrame, key: str, spans: str) -> DataFrame:
@@ -288,7 +286,7 @@ def ece_by_entity(spark, folder):
 
 @_query
 def ece_hundred_bins(spark, folder):
-    scored = _lineitem(spark, folder, "h", oracle.HUNDREDTHS)
+    scored = _lineitem(spark, folder, oracle.HUNDREDTHS)
     return calibrate.calibration_error(scored, bins=100).select("predictions", F.round("ece", 6).alias("ece"))
 
 

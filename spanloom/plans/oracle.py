@@ -227,5 +227,39 @@ def sql() -> dict[str, str]:
     types = ", ".join(f"('{t}')" for t in taxonomy.TYPES)
     out["label_audit"] = f"""WITH have AS (SELECT * FROM (VALUES {have}) v(source, label)), mapped AS (SELECT * FROM (VALUES {to}) v(label, target)), known AS (SELECT * FROM (VALUES {types}) v(target))
   SELECT source, 'missing' AS kind, label FROM have ANTI JOIN mapped USING (label) UNION ALL SELECT DISTINCT source, 'invalid', target FROM have JOIN mapped USING (label) ANTI JOIN known USING (target)"""
+    better = "(n.score, n.e - n.s, -n.window_index) > (r.score, r.e - r.s, -r.window_index)"
+    tie = "(n.score, n.e - n.s, -n.window_index) = (r.score, r.e - r.s, -r.window_index) AND n.ty < r.ty"
+
+    def survivors(name: str, source: str, by: str, wins: str) -> str:
+        """Visits spans in order and compares each with the last survivor."""
+        cols = ("s", "e", "ty", "window_index", "score")
+        take = ", ".join(f"CASE WHEN n.s < r.e AND r.s < n.e AND NOT ({wins}) THEN r.{c} ELSE n.{c} END AS {c}" for c in cols)
+        return f"""{name}_o AS (SELECT doc_id, {", ".join(cols)}, row_number() OVER (PARTITION BY {by} ORDER BY s, e, ty) AS rn FROM {source}),
+  {name}_r AS (SELECT doc_id, {", ".join(cols)}, rn, 1 AS g FROM {name}_o WHERE rn = 1 UNION ALL
+    SELECT r.doc_id, {take}, n.rn, CASE WHEN n.s < r.e AND r.s < n.e THEN r.g ELSE r.g + 1 END FROM {name}_r r JOIN {name}_o n ON n.doc_id = r.doc_id AND n.rn = r.rn + 1 {"AND n.ty = r.ty" if "ty" in by else ""}),
+  {name} AS (SELECT doc_id, {", ".join(cols)} FROM {name}_r QUALIFY row_number() OVER (PARTITION BY {by}, g ORDER BY rn DESC) = 1)"""
+
+    out["window_merge"] = f"""WITH RECURSIVE once AS (SELECT * FROM ({WINDOWS}) QUALIFY row_number() OVER (PARTITION BY doc_id, s, e, ty ORDER BY score DESC, window_index) = 1),
+  {survivors("same", "once", "doc_id, ty", better)}, {survivors("apart", "same", "doc_id", f"{better} OR {tie}")}
+  SELECT doc_id, s AS span_start, e AS span_end, ty AS entity_type, score FROM apart"""
+    out["partial_prf"] = f"""WITH RECURSIVE gold AS ({GOLD}), pred AS ({PRED}),
+  g AS (SELECT doc_id, s, e, ty, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, ty) AS i FROM gold), p AS (SELECT doc_id, s, e, ty, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, ty, score) AS j FROM pred),
+  c AS (SELECT g.doc_id, i, j, row_number() OVER (PARTITION BY g.doc_id ORDER BY -(least(g.e, p.e) - greatest(g.s, p.s)), abs(g.s - p.s) + abs(g.e - p.e), i, j) AS rn FROM g JOIN p ON p.doc_id = g.doc_id AND p.ty = g.ty AND g.s < p.e AND p.s < g.e),
+  r AS (SELECT doc_id, rn, [i] AS gs, [j] AS ps FROM c WHERE rn = 1 UNION ALL
+    SELECT r.doc_id, c.rn, CASE WHEN list_contains(gs, i) OR list_contains(ps, j) THEN gs ELSE list_append(gs, i) END, CASE WHEN list_contains(gs, i) OR list_contains(ps, j) THEN ps ELSE list_append(ps, j) END FROM r JOIN c ON c.doc_id = r.doc_id AND c.rn = r.rn + 1),
+  t AS (SELECT CAST(sum(n) AS BIGINT) AS tp FROM (SELECT doc_id, max(len(gs)) AS n FROM r GROUP BY doc_id)),
+  k AS (SELECT tp, (SELECT count(*) FROM pred) - tp AS fp, (SELECT count(*) FROM gold) - tp AS fn FROM t) SELECT tp AS partial_tp, fp AS partial_fp, fn AS partial_fn, {_scores("partial_")} FROM k"""
+    out["bio_lenient"] = f"""{_A}, {_BIO}, k AS (SELECT *, CASE WHEN label <> 'O' THEN substring(label, 3) END AS ty FROM labels),
+  b AS (SELECT *, lag(ty) OVER (PARTITION BY row_id ORDER BY a) AS before FROM k), n AS (SELECT *, sum(CASE WHEN ty IS NOT DISTINCT FROM before THEN 0 ELSE 1 END) OVER (PARTITION BY row_id ORDER BY a) AS island FROM b)
+  SELECT ty AS entity_type, count(*) AS spans, CAST(sum(z - a) AS BIGINT) AS characters FROM (SELECT row_id, island, ty, min(a) AS a, max(z) AS z FROM n WHERE ty IS NOT NULL GROUP BY ALL) GROUP BY ty"""
+    out["example_json"] = f"""{_A}, l AS (SELECT row_id, list({{'start': s, 'end': e, 'entity_type': ty}} ORDER BY s, e, ty) AS spans FROM asp GROUP BY row_id)
+  SELECT row_id, CAST(to_json({{'id': example_id, 'text': text, 'spans': coalesce(l.spans, []), 'source': source, 'language': language}}) AS VARCHAR) AS line FROM ann LEFT JOIN l USING (row_id)"""
+    out["example_validity"] = """WITH sp AS (SELECT row_id, i, n, spans[i]['start'] AS s, spans[i]['end'] AS e, spans[i]['entity_type'] AS ty FROM (SELECT row_id, spans, length(text) AS n, unnest(range(1, len(spans) + 1)) AS i FROM dataset_examples)),
+  outside AS (SELECT DISTINCT row_id FROM sp WHERE NOT coalesce(s >= 0 AND s < e AND e <= n AND trim(ty) <> '', false)),
+  unsorted AS (SELECT DISTINCT row_id FROM (SELECT row_id, i, row_number() OVER (PARTITION BY row_id ORDER BY s, e, ty, i) AS k FROM sp) WHERE i <> k),
+  clash AS (SELECT DISTINCT row_id FROM (SELECT row_id, s, lag(e) OVER (PARTITION BY row_id ORDER BY s, e, ty) AS pe FROM sp) WHERE s < pe)
+  SELECT CASE WHEN example_id IS NULL OR trim(example_id) = '' THEN 'example_id must not be blank' WHEN text IS NULL OR text = '' THEN 'text must not be empty' WHEN source IS NULL OR trim(source) = '' THEN 'source must not be blank'
+    WHEN language IS NULL OR trim(language) = '' THEN 'language must not be blank' WHEN row_id IN (SELECT row_id FROM outside) THEN 'spans must lie in the text'
+    WHEN row_id IN (SELECT row_id FROM unsorted) THEN 'spans must be sorted' WHEN row_id IN (SELECT row_id FROM clash) THEN 'spans must not overlap' END AS error, count(*) AS n FROM dataset_examples GROUP BY 1"""
     out["label_totals"] = "SELECT s['entity_type'] AS entity_type, count(*) AS n, s['entity_type'] IN (" + ", ".join(f"'{t}'" for t in taxonomy.TYPES) + ") AS known FROM (SELECT unnest(spans) AS s FROM dataset_examples) GROUP BY 1"
     return out
