@@ -133,7 +133,7 @@ class Lexicon:
         """Mentions in folded text ``low`` whose letters as written are ``form``."""
         at, led = 0, set()
         while m := _GIVEN_FIRST.search(low, at):
-            if m["g"] in self.given and self._surname(m["s"]):
+            if m["g"] in self.given and self._surname(m["s"]) and form[m.start()].isupper() == form[m.start("s")].isupper():
                 led.add(m.start())
                 yield m.start(), m.end()
                 at = m.end()
@@ -223,7 +223,7 @@ def lexicon_of(rows) -> Lexicon:
         words = _TOKEN.findall(fold(canon_map(text)[0]))
         shown.update(zip(words, words[1:]))
     least = max(3, len(given) // 2000)
-    names = {w for w, n in given.items() if n >= max(4, least) and n > 3 * common[w]}
+    names = {w for w, n in given.items() if n >= max(4, least) and 3 * n > common[w]}
     words = {w for w, n in common.items() if n >= 3 and w not in names}
     pairs = {p for p, n in before.items() if len(p) == 2 and n >= 5 and 2 * n > shown[p] and all(w in words for w in p)}
     return Lexicon(names, words, pairs)

@@ -15,7 +15,7 @@ from .language import fit, language_cases, languages
 from .layout import kept_lines, layout_copies
 from .overlap import cross_split_pairs, overlap_report
 from .packing import CAPACITY, pack_items
-from .personal import detect, fit_lexicon, scrubbed
+from .personal import Lexicon, detect, fit_lexicon, scrubbed
 from .repeats import repetition, repetitive
 from .split import split_oversized
 from .tokens import encode_corpus, token_counts, token_sizes
@@ -83,15 +83,25 @@ def _unannotated(spark: SparkSession, folder: str) -> DataFrame:
     return ex.unionByName(hand)
 
 
+def _lexicon(spark: SparkSession, folder: str) -> Lexicon:
+    """Names and words of annotated rows of both tables."""
+    span = lambda s, k: F.struct(s.start.alias("start"), s.end.alias("end"), F.upper(s[k]).alias("entity_type"))
+    parts = [
+        table(spark, folder, name).filter("spans is not null").select(F.col(key).cast("string").alias("row_id"), "text", F.transform("spans", lambda s: span(s, kind)).alias("spans"))  # noqa: B023
+        for name, key, kind in (("dataset_examples", "row_id", "entity_type"), ("examples", "id", "label"))
+    ]
+    return fit_lexicon(parts[0].unionByName(parts[1]))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    lexicon = fit_lexicon(table(spark, folder, "dataset_examples"))
+    lexicon = _lexicon(spark, folder)
     found = detect(_unannotated(spark, folder), lexicon, ["tab", "rid"]).select("tab", "rid", F.explode("found").alias("s"))
     return found.select("tab", "rid", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.entity_type").alias("entity_type"))
 
 
 def p6_scrubbed(spark: SparkSession, folder: str) -> DataFrame:
     """Unannotated texts with typed placeholders."""
-    lexicon = fit_lexicon(table(spark, folder, "dataset_examples"))
+    lexicon = _lexicon(spark, folder)
     return scrubbed(_unannotated(spark, folder), lexicon, ["tab", "rid"]).select("tab", "rid", "scrubbed")
 
 
