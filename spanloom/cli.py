@@ -1,4 +1,4 @@
-"""Redact a text or a file from the command line: ``spark-submit -m spanloom.cli TEXT`` or ``--file PATH``."""
+"""Redact a text or a file from the command line: ``python -m spanloom.cli TEXT`` or ``--file PATH``."""
 
 from __future__ import annotations
 
