@@ -12,7 +12,7 @@ from ..sources.tables import table as stored
 from . import perplexity
 from .canon import consistent_form, lookalike_pairs
 from .language import fit, language_cases, languages
-from .layout import kept_lines, layout_copies
+from .layout import FOLDS, kept_lines, layout_copies
 from .overlap import cross_split_pairs, overlap_report
 from .packing import CAPACITY, pack_items
 from .personal import Lexicon, detect, fit_lexicon, scrubbed
@@ -143,7 +143,19 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+def _bare(path: str) -> str:
+    """Letters and digits of a JSON field in SQL, case folded."""
+    c = f"translate(lower(line ->> '$.{path}'), 'ςſ', 'σs')"
+    for letter, out in FOLDS.items():
+        c = f"replace({c}, '{letter}', '{out}')"
+    return rf"coalesce(regexp_replace({c}, '[^\p{{L}}\p{{N}}]', '', 'g'), '')"
+
+
 def oracle_sql() -> dict[str, str]:
+    keys = " || chr(31) || ".join(map(_bare, ("id", "text", "source", "language")))
+    classes = f"WITH k AS (SELECT line_id, line, {keys} AS key FROM example_lines), m AS (SELECT key, min(line_id) AS keep_id, count(*) AS copies FROM k GROUP BY key)"
     return {
         "p4_found": "SELECT row_id FROM dataset_examples WHERE length(text) > 2000",
+        "p5_found": f"{classes} SELECT keep_id, line_id FROM k JOIN m USING (key) WHERE line_id > keep_id",
+        "p5_kept": f"{classes} SELECT keep_id, line, copies FROM k JOIN m USING (key) WHERE line_id = keep_id",
     }
