@@ -50,8 +50,8 @@ def calibration_error(rows: DataFrame, *by: str, bins: int = 10) -> DataFrame:
     )
 
 
-def sweep_thresholds(df: DataFrame, thresholds: list[float], gold: str = "spans", predicted: str = "predictions") -> DataFrame:
-    """Scores at each global threshold; no rows give zeros.
+def sweep_thresholds(df: DataFrame, thresholds: list[float], gold: str = "spans", predicted: str = "predictions", only: str | None = None) -> DataFrame:
+    """Scores at each threshold, applied to all types or to one; no rows give zeros.
 
     A document's measures change only where one of its scores falls below the
     threshold. So each is measured at the few steps its own scores fall in, the
@@ -65,16 +65,17 @@ def sweep_thresholds(df: DataFrame, thresholds: list[float], gold: str = "spans"
     steps = F.array(*(F.lit(t) for t in grid))
     moving = ["n_pred", "n_pred_distinct", "exact_tp", "leaked", "fp_chars"]
     step_of = lambda s: F.size(F.filter(steps, lambda t: t <= s.score)) - 1
-    own = F.transform(F.filter(p, lambda s: s.score.isNotNull()), step_of)
+    bound = lambda s: s.score.isNotNull() & (F.lit(True) if only is None else s.entity_type == only)
+    own = F.transform(F.filter(p, bound), step_of)
     levels = F.array_sort(F.array_distinct(F.concat(F.filter(own, lambda i: i >= 0), F.array(F.lit(top)))))
 
     def at(level: Column) -> Column:
-        return F.filter(p, lambda s: s.score.isNull() | ((level < top) & (s.score >= F.get(steps, level))))
+        return F.filter(p, lambda s: ~bound(s) | ((level < top) & (s.score >= F.get(steps, level))))
 
     def point(level: Column) -> Column:
         return let(at(level), lambda q: F.struct(level.alias("step"), *(c.alias(k) for k, c in measures(g, q, n).items() if k in moving)))
 
-    def changes(points: Column) -> Column:  # the last point keeps unscored spans only
+    def changes(points: Column) -> Column:  # the last point keeps what no threshold binds
         above_ = F.concat(F.slice(points, F.lit(2), F.size(points) - 1), F.array(F.lit(None)))
         return F.zip_with(points, above_, lambda x, y: F.struct(x["step"].alias("step"), *((x[k] - F.coalesce(y[k], F.lit(0))).cast("long").alias(k) for k in moving)))
 
@@ -99,8 +100,8 @@ def score_profile(df: DataFrame, profile: dict[str, float], gold: str = "spans",
 def _key(mode: str, s, threshold: float) -> tuple:
     """What the search maximises."""
     if mode == "strict":
-        return (-s["leak_rate"], s["exact_recall"], -s["over_redaction_rate"], s["exact_precision"], s["exact_f1"], threshold)
-    return (s["exact_f1"], -s["leak_rate"], s["exact_precision"], s["exact_recall"], -s["over_redaction_rate"], threshold)
+        return (-s["leak_rate"], s["recall"], -s["over_redaction_rate"], s["precision"], s["f1"], threshold)
+    return (s["f1"], -s["leak_rate"], s["precision"], s["recall"], -s["over_redaction_rate"], threshold)
 
 
 def optimize_profile(df: DataFrame, entities: list[str], thresholds: list[float], initial: float, mode: str, passes: int = 3, gold: str = "spans", predicted: str = "predictions") -> tuple[dict[str, float], dict]:
@@ -123,11 +124,10 @@ def optimize_profile(df: DataFrame, entities: list[str], thresholds: list[float]
         before = dict(profile)
         for e in sorted(profile):
             tried = sorted({*values, profile[e]})
-            each = base.withColumn("candidate", F.explode(F.array(*(F.lit(t) for t in tried))))
             rest = {k: v for k, v in profile.items() if k != e}
-            kept = F.filter(above(F.col(predicted), rest), lambda s: (s.entity_type != e) | s.score.isNull() | (s.score >= F.col("candidate")))  # noqa: B023
-            scores = {r["candidate"]: r for r in dataset_score(document_measures(each.withColumn(predicted, kept), gold, predicted), "candidate").collect()}
-            profile[e] = max(tried, key=lambda t: _key(mode, scores[t], t)) if scores else profile[e]  # noqa: B023
+            others = base.withColumn(predicted, above(F.col(predicted), rest))
+            scores = {r["threshold"]: r for r in sweep_thresholds(others, tried, gold, predicted, only=e).collect()}  # one row a candidate
+            profile[e] = max(tried, key=lambda t: _key(mode, scores[t], t))  # noqa: B023
         if profile == before:
             break
     return profile, score_profile(base, profile, gold, predicted).first().asDict()
