@@ -153,6 +153,20 @@ def test_perplexity(spark):
     assert perplexity.perplexities(df, perplexity.fit(none)).count() == 43
 
 
+def test_perplexity_keeps_every_ngram(spark, monkeypatch):
+    rows = [(i, f"the cat {'sat' if i % 3 else 'lay'} on mat {chr(97 + i)} and the dog {chr(97 + i // 2)} lay down", "en") for i in range(20)]
+    df = spark.createDataFrame([*rows, (20, None, None), (20, "the cat flew on mat b", "de")], "doc_id long, text string, lang string")
+    seen, unseen = df.filter("doc_id < 12"), df
+
+    def scores():
+        model = perplexity.fit(seen)
+        return [sorted(map(str, perplexity.perplexities(x, model).collect())) for x in (seen, unseen)]
+
+    whole = scores()
+    monkeypatch.setattr(perplexity, "ENTRIES", 3)
+    assert scores() == whole and len(whole[1]) == 22
+
+
 def test_bounded_sample(spark):
     df = spark.range(30_000).withColumnRenamed("id", "n")
     a, b = (sorted(r.n for r in sample.bounded_sample(df.repartition(k), "n", 1000).collect()) for k in (2, 7))
