@@ -95,7 +95,7 @@ class Model:
                 yield w[i : i + n]
 
     def _unseen(self, word: str) -> np.ndarray:
-        w, i, rows = _BOUND + word[:40] + _BOUND, 0, []
+        w, i, rows = _BOUND + word + _BOUND, 0, []
         while i < len(w) - 1:  # the longest known n-gram from here, then on behind it
             for n in range(5, 1, -1):
                 if (row := self.grams.get(w[i : i + n])) is not None:

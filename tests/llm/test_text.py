@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -74,6 +75,16 @@ def test_languages(spark):
     assert len(model.stretches(long)) == 400
 
 
+def small_model(**words):
+    return language.Model({k: Counter(words.get(k, {})) for k in language.LANGUAGES})
+
+
+def test_unseen_words_are_walked_to_their_end():
+    model = small_model(de={"STRASSE": 9}, en={"STREET": 9})
+    assert (model.row("Q" * 60 + "STRASSE") == 0).sum() < len(language.LANGUAGES)
+    assert (model.row("Q" * 60) == 0).all()
+
+
 def reference(texts):
     from tokenizers import Tokenizer
 
