@@ -154,7 +154,7 @@ class Model:
         for i, (a, b) in enumerate(zip(ends, ends[1:])):
             if a == b or not tells[i]:
                 out.append([])
-            elif -top[i] < SWITCH or _gain(run[a : b + 1], best[i]) <= SWITCH:  # no change can gain what it costs: every word's best is 0
+            elif -top[i] < SWITCH or _stays(run[a : b + 1], best[i]):  # no change can gain what it costs: every word's best is 0
                 out.append([(LANGUAGES[best[i]], float(sure[i]), b - a)])
             else:
                 path = _path(scores[a:b])
@@ -163,10 +163,16 @@ class Model:
         return out
 
 
-def _gain(run: np.ndarray, base: int) -> float:
-    """The most that any stretch of words gains in another language, from running sums of scores."""
+def _stays(run: np.ndarray, base: int) -> bool:
+    """Whether no path gains over staying in language ``base``, from running sums of scores.
+
+    A path of m stretches pays m - 1 changes. Its first stretch gains at most what
+    a prefix does, its last what a suffix does, and each between them what any
+    stretch does; a stretch in ``base`` gains nothing.
+    """
     ahead = run - run[:, base : base + 1]
-    return float((ahead - np.minimum.accumulate(ahead, axis=0)).max())
+    between = (ahead - np.minimum.accumulate(ahead, axis=0)).max()
+    return bool(between <= SWITCH and ahead.max() + (ahead[-1] - ahead.min(axis=0)).max() < SWITCH)
 
 
 def _confidence(total: np.ndarray) -> float:

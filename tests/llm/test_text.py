@@ -85,6 +85,25 @@ def test_unseen_words_are_walked_to_their_end():
     assert (model.row("Q" * 60) == 0).all()
 
 
+def test_a_change_between_two_gaining_languages():
+    import numpy as np
+
+    model = small_model()
+    rows = np.full((3, len(language.LANGUAGES)), -6.0)
+    rows[0, 0] = rows[1, 1] = 0.0  # AA is German, BB is English, and Spanish is best in total
+    rows[:2, 2] = -2.5
+    model.rows, model.number, model.fixed = rows.astype(np.float32), {"AA": 0, "BB": 1}, 3
+    assert [(k, n) for k, _, n in model.stretches("AA AA AA BB BB BB")] == [("de", 3), ("en", 3)]
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        scores = rng.choice([-6.0, -3, -1, 0], (rng.integers(1, 14), 3), p=[0.2, 0.3, 0.3, 0.2])
+        scores -= scores.max(axis=1, keepdims=True)
+        run = np.concatenate([np.zeros((1, 3)), np.cumsum(scores, axis=0)])
+        base = int(run[-1].argmax())
+        if language._stays(run, base):
+            assert scores[np.arange(len(scores)), p := language._path(scores)].sum() - language.SWITCH * np.count_nonzero(np.diff(p)) <= run[-1, base]
+
+
 def reference(texts):
     from tokenizers import Tokenizer
 
