@@ -246,3 +246,15 @@ def test_training_records(spark):
     recs = spark.createDataFrame([(1, [5], [1], [5]), (1, [5, 6], [1, 1], [5, -100])], "b int, input_ids array<int>, attention_mask array<int>, labels array<int>")
     got = sorted((r.input_ids, r.labels) for r in bio.collate(recs, "b", 0).collect())
     assert got == [([5, 0], [5, -100]), ([5, 6], [5, -100])]
+
+
+def test_profile_searches_use_the_full_grid(spark, monkeypatch):
+    from conftest import DATA
+    from spanloom.plans import catalogue
+
+    asked = {}
+    monkeypatch.setattr(calibrate, "optimize_profile", lambda df, entities, thresholds, initial, mode: (asked.update({mode: (thresholds, initial)}) or {"A": 0.0}, {}))
+    for mode in ("strict", "balanced"):
+        catalogue.queries()[f"profile_search_{mode}"](spark, DATA)
+    grid = [round(0.05 * i, 10) for i in range(21)]
+    assert asked == {"strict": (grid, 0.35), "balanced": (grid, 0.60)}
