@@ -62,11 +62,14 @@ def _windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _predicted(spark: SparkSession, folder: str) -> DataFrame:
-    """Annotated rows with their merged window predictions; a row without windows has none."""
+    """Annotated rows with their merged window predictions; a row without windows has none, a span past its text is an error."""
     merged = F.transform(merge_windows(F.col("windows")), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.entity_type.alias("entity_type"), s.score.alias("score")))
-    preds = _windows(spark, folder).select("row_id", merged.alias("predictions"))
+    windows = _windows(spark, folder)
+    preds = windows.select("row_id", merged.alias("predictions"))
     rows = metrics.joined(_annotated(spark, folder), preds, "row_id", strict=False)
-    return rows.withColumn("predictions", F.filter("predictions", lambda s: s.end <= F.length("text")))
+    last = windows.select("row_id", F.array_max(F.transform("windows", lambda s: s.end)).alias("_last"))  # before the merge, which could hide it
+    error = F.raise_error(F.concat(F.lit("a prediction ends past the text of row "), F.col("row_id").cast("string")))
+    return rows.join(last, "row_id", "left").withColumn("predictions", F.when(F.col("_last") > F.length("text"), error).otherwise(F.col("predictions"))).drop("_last")
 
 
 def _lineitem(spark: SparkSession, folder: str, query: str) -> DataFrame:

@@ -258,3 +258,20 @@ def test_profile_searches_use_the_full_grid(spark, monkeypatch):
         catalogue.queries()[f"profile_search_{mode}"](spark, DATA)
     grid = [round(0.05 * i, 10) for i in range(21)]
     assert asked == {"strict": (grid, 0.35), "balanced": (grid, 0.60)}
+
+
+def test_predictions_past_the_text_are_errors(spark, monkeypatch):
+    from spanloom.plans import catalogue
+
+    gold = spark.createDataFrame([(1, "Ana was here", [(0, 3, "PERSON")])], "row_id long, text string, spans array<struct<start:int,end:int,entity_type:string>>")
+    monkeypatch.setattr(catalogue, "_annotated", lambda *_: gold)
+
+    def merged(*spans):
+        rows = [(1, i, a, b, "PERSON", 0.9) for i, (a, b) in enumerate(spans)]
+        windows = spark.createDataFrame(rows, "row_id long, window_index int, span_start int, span_end int, entity_type string, score double")
+        monkeypatch.setattr(catalogue, "table", lambda *_: windows)
+        return [(r.span_start, r.span_end) for r in catalogue.queries()["window_predictions_merged"](spark, "").collect()]
+
+    assert merged((0, 3), (8, 12)) == [(0, 3), (8, 12)]
+    with pytest.raises(Exception, match="ends past the text of row 1"):
+        merged((0, 3), (8, 13))
