@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Table ``name`` of ``folder``; a file or a folder of part files."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+PARTITIONS = "spanloom.input.partitions"  # session setting: read tables are dealt out over so many partitions
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files make fewer partitions than there are; for costly work by row.
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Table ``name`` of ``folder``; a file or a folder of part files.
 
-    Large inputs have many times more partitions and are left as they are, so
-    nothing is shuffled at scale.
+    Spark makes a task of each row group at most, so a file written as one row
+    group is read by one core. Who has such files can set ``PARTITIONS`` for the
+    session, which costs a shuffle of every table read; unset, which is the
+    default, files are read as they lie.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    parts = spark.conf.get(PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
