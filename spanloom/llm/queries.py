@@ -7,24 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import spread
-from ..sources.tables import table as stored
+from ..sources.tables import table
 from . import perplexity
 from .canon import consistent_form, lookalike_pairs
 from .language import fit, language_cases, languages
 from .layout import FOLDS, kept_lines, layout_copies
-from .overlap import cross_split_pairs, overlap_report
+from .overlap import covered_records, cross_split_pairs, overlap_report
 from .packing import CAPACITY, pack_items
 from .personal import Lexicon, detect, fit_lexicon, scrubbed
 from .repeats import repetition, repetitive
 from .split import split_oversized
 from .tokens import encode_corpus, token_counts, token_sizes
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table over all cores, as every operator here works hard by row."""
-    return spread(stored(spark, folder, name))
-
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -113,6 +107,11 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_report(table(spark, folder, "dataset_examples"))
 
 
+def p7_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Every evaluation row with a partner, and how many of its words one of them covers."""
+    return covered_records(table(spark, folder, "dataset_examples")).withColumnRenamed("row", "row_id")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 

@@ -74,6 +74,37 @@ def test_overlap_on_random_texts(spark):
     got = [tuple(r) for r in overlap.cross_split_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == near(rows)
     assert overlap.cross_split_pairs(df.limit(0)).count() == 0
+    assert {tuple(r) for r in overlap.cross_split_pairs(df, most=40).collect()} == set(got)  # many shards
+
+
+@given(WORDS, WORDS, WORDS)
+@settings(max_examples=300, deadline=None)
+def test_partners_hold_a_passage(a, b, c):
+    texts = [t for t in {" ".join(a), " ".join(c)} if t]
+    shard = overlap.Shard(texts)
+    for t in (" ".join(b), " ".join(a[:7] + ["z"] + a[7:]), " ".join(["f", *a[1:]])):
+        if t:
+            n = t.count(" ") + 1
+            want = {i for i, e in enumerate(texts) if (s := overlap.common_words(e.split(), t.split())) >= overlap.needed(max(n, e.count(" ") + 1)) and s}
+            assert {i for i, _ in shard.links(t)} == want
+    for t in texts:
+        for whole in (overlap.runs(t.count(" ") + 1), overlap.passages(t.split(), overlap.Counter(t.split()), overlap.Counter())):
+            assert all(x[1] <= y[0] for x, y in zip(sorted(whole), sorted(whole)[1:]))
+
+
+def test_shards_are_bounded():
+    of, shards = overlap._plan([(3, 20, 22, 30), (4, 23, 24, 60), (5, 25, 26, 250), (9, 40, 44, 5)], 100)
+    assert of == {3: (0, 1), 4: (0, 1), 5: (1, 3), 9: (4, 1)} and shards == [(0, 20, 24), (1, 25, 26), (2, 25, 26), (3, 25, 26), (4, 40, 44)]
+
+
+def test_overlap_of_hot_copies(spark):
+    rows = [(i, "one two three four five six seven", "train" if i % 2 else "test") for i in range(60)] + [(100, "one two three four five six sevn", "train"), (101, None, None)]
+    df = spark.createDataFrame(rows, "row_id long, text string, split string")
+    assert {tuple(r) for r in overlap.cross_split_pairs(df).collect()} == near(rows)
+    source = df.withColumn("source", overlap.F.lit("s"))
+    (r,) = overlap.overlap_report(source).collect()
+    assert (r.pairs, r.covered_words, r.words) == (30 * 31, 30 * 30 * 7 + 30 * 6, 30 * 31 * 7)
+    assert {(r.covered, r.words, r.train_rows) for r in overlap.covered_records(source).collect()} == {(7, 7, 31)}
 
 
 def test_overlap_on_data(spark):
