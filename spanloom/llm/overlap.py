@@ -98,22 +98,27 @@ def passages(words: list[str], held: Counter, cut: Counter) -> list[tuple[int, i
     return [(i, i + 1) for i in order]
 
 
+def chosen(texts: list[str]) -> list[list[tuple[int, int]]]:
+    """The passages of each of a shard's texts."""
+    words = [t.split(" ") for t in texts]
+    held, cut = Counter(), Counter()
+    for w in words:
+        held.update(set(w))
+        cut.update({" ".join(w[a:b]) for a, b in runs(len(w))})
+    return [passages(w, held, cut) for w in words]
+
+
 class Shard:
     """The automaton over the passages of some evaluation texts, given as joined words."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], spots: list[list[tuple[int, int]]] | None = None):
         import ahocorasick
 
         self.texts, self.sizes = texts, [t.count(" ") + 1 for t in texts]
-        held, cut = Counter(), Counter()
-        for t in texts:
-            w = t.split(" ")
-            held.update(set(w))
-            cut.update({" ".join(w[a:b]) for a, b in runs(len(w))})
         where: dict[str, list[tuple[int, int]]] = {}
-        for i, t in enumerate(texts):
+        for i, (t, at) in enumerate(zip(texts, chosen(texts) if spots is None else spots)):
             w = t.split(" ")
-            for a, b in passages(w, held, cut):
+            for a, b in at:
                 where.setdefault(f" {' '.join(w[a:b])} ", []).append((i, b - a))
         self.where = list(where.values())
         self.auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -146,8 +151,15 @@ class Shard:
 @lru_cache(maxsize=2)
 def _shard(path: str, shard: int) -> tuple[Shard, list[int], list[int]]:
     """A shard and the keys of its texts, built once per worker and kept for the tasks that follow."""
-    t = part_rows(path, "shard", shard, ["norm", "c1", "c2"])
-    return Shard(t.column("norm").to_pylist()), t.column("c1").to_pylist(), t.column("c2").to_pylist()
+    t = part_rows(path, "shard", shard, ["norm", "spots", "c1", "c2"])
+    spots = [list(zip(x[::2], x[1::2])) for x in t.column("spots").to_pylist()]
+    return Shard(t.column("norm").to_pylist(), spots), t.column("c1").to_pylist(), t.column("c2").to_pylist()
+
+
+def _spotted(shard: pa.Table) -> pa.Table:
+    """A shard's texts with their passages, chosen here once for all tasks."""
+    spots = [[x for ab in at for x in ab] for at in chosen(shard.column("norm").to_pylist())]
+    return shard.append_column("spots", pa.array(spots, pa.list_(pa.int32())))
 
 
 def _scan(path: str, shard: int):
@@ -220,7 +232,8 @@ def near_rows(df: DataFrame, row_id: str, text: str, split: str, train: tuple[st
     if shards:
         first, count = (F.create_map(*(F.lit(x) for k, v in of.items() for x in (k, v[j]))) for j in (0, 1))
         dealt = ev.withColumn("shard", first[F.col("level")] + F.pmod("c2", count[F.col("level")]).cast("int")).select("shard", "c1", "c2", "norm")
-        path = written_at(dealt.repartition("shard"), "overlap-shards", "shard")
+        spotted = dealt.groupBy("shard").applyInArrow(_spotted, "shard int, c1 long, c2 long, norm string, spots array<int>")  # at most SHARD_WORDS words a group
+        path = written_at(spotted, "overlap-shards", "shard")
         held = {r.shard for r in spark.read.parquet(path).select("shard").distinct().collect()}  # a shard dealt by hash may have got nothing
         shards = [x for x in shards if x[0] in held]
         train_rows = rows.filter("not ev")
