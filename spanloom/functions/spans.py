@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .batches import merged
 from .chars import has_alnum, slice_text
 
 SPAN = "struct<start:int,end:int,entity_type:string>"
@@ -47,25 +48,6 @@ def in_order(spans: Column, kind: str = SPAN) -> Column:
     return F.transform(keyed, lambda s: F.struct(*(s[n].alias(n) for n in names)))
 
 
-def match_spans(text: Column, pattern: str, entity: str, score: float = 1.0) -> Column:
-    """Non-overlapping matches of a Java pattern as scored spans.
-
-    Offsets are folded from the lengths of the gaps and of the matches, which
-    count code points where an engine's own offsets would count UTF-16 units.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
-    start = F.struct(F.lit(0).alias("at"), empty(SCORED).alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        a = acc["at"] + s["g"]
-        span = F.struct(a.alias("start"), (a + s["m"]).alias("end"), F.lit(entity).alias("entity_type"), F.lit(float(score)).alias("score"))
-        return F.when(s["m"].isNull(), acc).otherwise(F.struct((a + s["m"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
-
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
-
-
 def resolve_greedy(spans: Column) -> Column:
     """Spans that overlap no earlier accepted one; earlier start goes first, then longer, then type."""
     keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s.start.alias("start"), (s.start - s.end).alias("n"), s.entity_type.alias("entity_type"), s.end.alias("end"), s.score.alias("score"))))
@@ -151,8 +133,8 @@ def resolve_cross_type(spans: Column) -> Column:
 
 
 def merge_windows(spans: Column) -> Column:
-    """Duplicates out, then overlaps of one type, then of different types."""
-    return resolve_cross_type(resolve_same_type(distinct_windows(spans)))
+    """Duplicates out, then overlaps of one type, then of different types, in one pass over sorted spans."""
+    return merged(spans)
 
 
 def merge_fragments(text: Column, spans: Column, types: set[str] | None = None) -> Column:

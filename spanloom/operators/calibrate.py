@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,9 +18,9 @@ from .metrics import dataset_score, document_measures, measures
 def threshold_grid(step: float = 0.05) -> list[float]:
     """0, step, 2 step ... below 1, then 1."""
     if isinstance(step, bool) or not isinstance(step, (int, float)):
-        raise TypeError("step must be numeric")
+        raise TypeError("the step of a grid is a number")
     if not 0 < step <= 1:
-        raise ValueError("step must be greater than 0 and at most 1")
+        raise ValueError("the step of a grid lies above 0 and is 1 at most")
     n, out = 0, []
     while n * step < 1:
         out.append(round(n * step, 10))
@@ -39,9 +42,9 @@ def calibration_error(rows: DataFrame, *by: str, bins: int = 10) -> DataFrame:
     A missing score is an error; no rows give no groups, and 0 without columns.
     """
     if isinstance(bins, bool) or not isinstance(bins, int):
-        raise TypeError("bins must be an integer")
+        raise TypeError("the number of bins is a whole number")
     if bins <= 0:
-        raise ValueError("bins must be greater than zero")
+        raise ValueError("at least one bin is needed")
     score = F.when(F.col("score").isNull(), F.raise_error(F.lit("calibration needs a score for every prediction"))).otherwise(F.col("score"))
     binned = rows.withColumn("bin", _bin(score, bins)).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("p"), F.sum(F.col("correct").cast("long")).alias("ok"))
     return binned.groupBy(*by).agg(
@@ -60,7 +63,7 @@ def sweep_thresholds(df: DataFrame, thresholds: list[float], gold: str = "spans"
     """
     grid = sorted({float(t) for t in thresholds})
     if not grid or grid[0] < 0 or grid[-1] > 1:
-        raise ValueError("thresholds must be between 0 and 1")
+        raise ValueError("a threshold lies from 0 to 1")
     top, g, p, n = len(grid), F.col(gold), F.col(predicted), F.length("text")
     steps = F.array(*(F.lit(t) for t in grid))
     moving = ["n_pred", "n_pred_distinct", "exact_tp", "leaked", "fp_chars"]
@@ -104,20 +107,23 @@ def _key(mode: str, s, threshold: float) -> tuple:
     return (s["f1"], -s["leak_rate"], s["precision"], s["recall"], -s["over_redaction_rate"], threshold)
 
 
+ANCHORS = {"strict": 0.35, "balanced": 0.60}  # Fixed values: where the searches start, and what their finds are held against
+
+
 def optimize_profile(df: DataFrame, entities: list[str], thresholds: list[float], initial: float, mode: str, passes: int = 3, gold: str = "spans", predicted: str = "predictions") -> tuple[dict[str, float], dict]:
     """One threshold per type by coordinate search: types in order, best candidate kept, until a pass changes nothing.
 
     All candidates of a coordinate are scored in one job over a written table.
     """
     if mode not in ("balanced", "strict"):
-        raise ValueError("mode must be 'balanced' or 'strict'")
+        raise ValueError(f"no search is known by the name {mode!r}")
     if passes < 1:
-        raise ValueError("passes must be at least 1")
+        raise ValueError("a search makes one pass or more")
     values = sorted({float(t) for t in thresholds})
     if not values:
-        raise ValueError("thresholds must not be empty")
+        raise ValueError("a search needs candidates")
     if any(not 0 <= t <= 1 for t in [*values, initial]):
-        raise ValueError("thresholds must be between 0 and 1")
+        raise ValueError("a threshold lies from 0 to 1")
     base = written(df.select("text", gold, predicted), "profile-search")
     profile = {e: float(initial) for e in sorted(set(entities))}
     for _ in range(passes):
@@ -133,10 +139,24 @@ def optimize_profile(df: DataFrame, entities: list[str], thresholds: list[float]
     return profile, score_profile(base, profile, gold, predicted).first().asDict()
 
 
-def counted_prf(df: DataFrame, tp: str, fp: str, fn: str) -> DataFrame:
-    """``df`` with precision, recall and F1 of count columns."""
-    return df.select("*", *prf(F.col(tp), F.col(fp), F.col(fn)))
+def selection_report(df: DataFrame, entities: list[str], thresholds: list[float] | None = None, gold: str = "spans", predicted: str = "predictions") -> tuple[dict, DataFrame]:
+    """Both searches with the anchors they started from: the profiles found, and scores of anchors and finds.
 
-
-def share(a: str, b: str) -> Column:
-    return ratio(F.col(a), F.col(b))
+    The scores have a row for each ``mode, choice``: the anchor as one threshold
+    for every type, and the profile found.
+    """
+    grid, found, rows = thresholds or threshold_grid(), {}, None
+    for mode, start in sorted(ANCHORS.items()):
+        found[mode], _ = optimize_profile(df, entities, grid, start, mode, gold=gold, predicted=predicted)
+        for choice, profile in (("anchor", {e: start for e in entities}), ("found", found[mode])):
+            one = score_profile(df, profile, gold, predicted).select(F.lit(mode).alias("mode"), F.lit(choice).alias("choice"), "predicted", "exact_tp", "exact_precision", "exact_recall", "exact_f1", "leak_rate", "over_redaction_rate")
+            rows = one if rows is None else rows.unionByName(one)
+    return found, rows
+
+
+def write_profiles(profiles: dict[str, dict[str, float]], path: str) -> None:
+    """Profiles as JSON that :func:`..redact.load_thresholds` reads again."""
+    for mode, profile in profiles.items():
+        if mode not in ANCHORS or any(not 0 <= t <= 1 for t in profile.values()):
+            raise ValueError(f"{mode!r} is no profile of thresholds from 0 to 1")
+    Path(path).write_text(json.dumps(profiles, indent=2, sort_keys=True) + "\n", "utf-8")

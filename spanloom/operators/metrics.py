@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ratios import prf, ratio
-from ..functions.spans import bare, covered, error_kind, exact_hits, false_positives, in_order, leaked, over_redacted, partial_hits, valid_bounds
+from ..functions.spans import bare, covered, error_kind, exact_hits, false_positives, leaked, over_redacted, partial_hits, valid_bounds
 
 
 def joined(gold: DataFrame, predicted: DataFrame, key: str, strict: bool = True) -> DataFrame:
@@ -31,19 +31,24 @@ def document_measures(df: DataFrame, gold: str = "spans", predicted: str = "pred
 
     ``n_gold, n_pred, n_gold_distinct, n_pred_distinct, exact_tp, partial_tp,
     leaked, fp_chars, non_pii``; exact counts collapse repeated spans, partial
-    ones and ``n_pred`` don't. Spans outside the text make the character measures null.
+    ones and ``n_pred`` don't. Spans outside the text are an error of the character
+    measures.
     """
     found = measures(F.col(gold), F.col(predicted), F.length("text") if length is None else length)
     return df.withColumns(found)
 
 
+def _within(inside: Column, value: Column) -> Column:
+    return F.when(inside, value).when(~inside, F.raise_error(F.lit("a span does not lie in its text")))
+
+
 def measures(g: Column, p: Column, n: Column) -> dict[str, Column]:
     """The integer measures of one document by name."""
     inside = valid_bounds(bare(g), n) & valid_bounds(bare(p), n)
     return {
         "n_gold": F.size(g), "n_pred": F.size(p), "n_gold_distinct": F.size(F.array_distinct(bare(g))), "n_pred_distinct": F.size(F.array_distinct(bare(p))),
         "exact_tp": exact_hits(g, p), "partial_tp": partial_hits(g, p), "leaked": leaked(g, p),
-        "fp_chars": F.when(inside, over_redacted(g, p)), "non_pii": F.when(inside, n - covered(g)),
+        "fp_chars": _within(inside, over_redacted(g, p)), "non_pii": _within(inside, n - covered(g)),
     }
 
 
@@ -106,7 +111,3 @@ def lost_matches(before: DataFrame, after: DataFrame, key: str, gold: str = "spa
         return df.select(key, F.explode_outer(F.array_intersect(bare(F.col(gold)), bare(F.col(predicted)))).alias("s")).filter("s is not null").select(key, F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.entity_type").alias("entity_type"))
 
     return hits(before).join(hits(after), [key, "span_start", "span_end", "entity_type"], "left_anti")
-
-
-def sorted_spans(spans: Column) -> Column:
-    return in_order(spans)

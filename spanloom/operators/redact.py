@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import batches
 from ..functions.chars import slice_text
-from ..functions.spans import above, adjacent_overlap, bare, in_order, let
+from ..functions.spans import above, bare
 from .detect import regex_spans
 
 # The published confidence thresholds.
@@ -29,58 +30,18 @@ PROFILES = {
 }
 
 
-def numbered(text: Column, spans: Column) -> Column:
-    """Spans in order with ``placeholder`` and ``value``; numbers count spans of a type by position."""
-    def mark(o: Column) -> Column:
-        return F.transform(o, lambda s, i: F.struct(
-            s.start.alias("start"), s.end.alias("end"),
-            F.concat(F.lit("["), s.entity_type, F.lit("_"), F.size(F.filter(F.slice(o, F.lit(1), i + 1), lambda x: x.entity_type == s.entity_type)).cast("string"), F.lit("]")).alias("placeholder"),
-            slice_text(text, s.start, s.end).alias("value"),
-        ))
-
-    return let(in_order(bare(spans)), mark)
-
-
-def replacement_error(text: Column, spans: Column) -> Column:
-    """Why spans can't be replaced; null if they can."""
-    return F.when(F.exists(spans, lambda s: s.end > F.length(text)), "span exceeds text length").when(adjacent_overlap(spans), "spans must not overlap")
-
-
 def replace_spans(text: Column, spans: Column) -> Column:
-    """``struct<text, mapping, error>``: text and mapping are null where spans overlap or leave the text."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def joined(marks: Column) -> Column:
-        return F.aggregate(
-            marks, start,
-            lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], slice_text(text, acc["at"], s["start"]), s["placeholder"]).alias("out")),
-            lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-        )
+    """``struct<text, mapping, error>``: placeholders for spans, numbered by position within their type.
 
-    def done(error: Column) -> Column:
-        def both(marks: Column) -> Column:
-            mapping = F.transform(marks, lambda s: F.struct(s["placeholder"].alias("placeholder"), s["value"].alias("value")))
-            return F.struct(F.when(error.isNull(), joined(marks)).alias("text"), F.when(error.isNull(), mapping).alias("mapping"), error.alias("error"))
-
-        return let(numbered(text, spans), both)
-
-    return let(replacement_error(text, spans), done)
+    Text and mapping are null where spans overlap or leave the text. Null text or
+    spans give nulls.
+    """
+    return batches.replaced(text, bare(spans))
 
 
 def restore(text: Column, mapping: Column) -> Column:
     """``struct<text, error>``: values put back in order; each placeholder must occur exactly once in the text so far."""
-    none = F.lit(None).cast("string")
-    start = F.struct(text.alias("text"), none.alias("error"))
-
-    def step(acc: Column, m: Column) -> Column:
-        def once(rest: Column) -> Column:  # the text without the placeholder
-            n = F.length(acc["text"]) - F.length(rest)
-            message = F.concat(F.lit("placeholder "), m["placeholder"], F.lit(" must occur exactly once"))
-            return F.when(n != F.length(m["placeholder"]), F.struct(none.alias("text"), message.alias("error"))).otherwise(F.struct(F.replace(acc["text"], m["placeholder"], m["value"]).alias("text"), none.alias("error")))
-
-        return F.when(acc["error"].isNotNull(), acc).otherwise(let(F.replace(acc["text"], m["placeholder"], F.lit("")), once))
-
-    return F.aggregate(mapping, start, step)
+    return batches.put_back(text, mapping)
 
 
 def load_thresholds(mode: str = "balanced", path: str | None = None) -> dict[str, float]:

@@ -316,12 +316,9 @@ def profile_scores(spark, folder):
     return out
 
 
-ANCHORS = {"strict": 0.35, "balanced": 0.60}  # where the searches start
-
-
 def _search(mode: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        profile, _ = calibrate.optimize_profile(_recipe(spark, folder), ["A", "N", "R"], calibrate.threshold_grid(), ANCHORS[mode], mode)
+        profile, _ = calibrate.optimize_profile(_recipe(spark, folder), ["A", "N", "R"], calibrate.threshold_grid(), calibrate.ANCHORS[mode], mode)
         return spark.createDataFrame(sorted(profile.items()), "entity_type string, threshold double")
 
     return run

@@ -225,6 +225,54 @@ def toy():
     return letters
 
 
+def windows_by_walking(labels, sizes, special, most, overlap):
+    """The same windows found word by word."""
+    size = lambda a, b: special + sum(sizes[a:b])
+    out, a = [], 0
+    while a < len(labels):
+        b = a
+        while b < len(labels) and size(a, b + 1) <= most:
+            b += 1
+        while a < b < len(labels) and labels[b].startswith("I-"):
+            b -= 1
+        if b == a:
+            return None
+        out.append((a, b))
+        if b == len(labels):
+            break
+        c = b - 1
+        while c > a and size(c, b) < overlap:
+            c -= 1
+        while c > 0 and labels[c].startswith("I-"):
+            c -= 1
+        a = c if c > a else b
+    return out
+
+
+def test_windows_cut_no_entity():
+    rng = random.Random(7)
+    for _ in range(500):
+        labels = [rng.choice(["O", "O", "B-P", "I-P"]) for _ in range(rng.randrange(1, 30))]
+        labels[0] = "O"
+        sizes = [rng.randrange(1, 5) for _ in labels]
+        most, overlap = rng.randrange(6, 20), rng.randrange(0, 5)
+        want = windows_by_walking(labels, sizes, 2, most, overlap)
+        try:
+            got = list(bio.windows_of(labels, sizes, 2, most, overlap))
+        except ValueError:
+            got = None
+        assert got == want
+
+
+@pytest.mark.parametrize(("word_ids", "local", "ids"), [([0, 0, 1], [(0, 2), (3, 4), (0, 2)], [5, 6, 7]), ([0, 1], [(0, 3), (0, 2)], [5, 7]), ([0, 0], [(0, 2), (2, 4)], [5, 6]), ([0, 1, 2], [(0, 4), (0, 2), (0, 1)], [5, 6, 7]), ([0, 1], [(0, 5), (0, 2)], [5, 7]), ([0, 1], [(0, 4), (0, 2)], [5, 0])])
+def test_bad_alignment_is_an_error(word_ids, local, ids):
+    words, labels = ["abcd", "xy"], ["O", "B-P"]
+    good = bio.align_words(words, labels, lambda w: ([5, 6, 7], [0, 0, 1], [(0, 2), (2, 4), (0, 2)]), unknown=0)
+    assert good["labels"] == ["O", "O", "B-P"]
+    with pytest.raises(ValueError):
+        bio.align_words(words, labels, lambda w: (ids, word_ids, local), unknown=0)
+
+
 def test_training_records(spark):
     letters = toy()
     df = spark.createDataFrame([("e", "Hi Anabel now", [(3, 9, "P")])], "example_id string, text string, spans array<struct<start:int,end:int,entity_type:string>>")
@@ -233,7 +281,10 @@ def test_training_records(spark):
     short = bio.encoder_records(df, lambda: letters, {"O": 0, "B-P": 1, "I-P": 2}, "first_subword", 4).first()
     assert "max_length" in short.error
     w = bio.window_examples(df, lambda: letters, max_length=6, overlap=1).collect()
-    assert [(x.text, [tuple(s) for s in x.spans]) for x in w] == [("Hi Anabel", [(3, 9, "P")]), ("now", [])] or w[0].text == "Hi Anabel"
+    assert [(x.example_id, x.text, [tuple(s) for s in x.spans]) for x in w] == [("e-w0", "Hi Anabel", [(3, 9, "P")]), ("e-w1", "Anabel", [(0, 6, "P")]), ("e-w2", "now", [])]
+    long = spark.createDataFrame([("e", "ab Anabel Anabel", [(3, 16, "P")])], df.schema)
+    with pytest.raises(Exception, match="max_length"):
+        bio.window_examples(long, lambda: letters, max_length=7, overlap=1).collect()
     chat = df.withColumn("messages", normalize.chat_messages(F.col("text"), F.col("spans")))
     render = lambda ms, prompt: "".join(f"<{m['role']}>{m['content']}" for m in ms) + ("<assistant>" if prompt else "")
     chars = lambda: lambda t: ([ord(c) for c in t], [(i, i + 1) for i in range(len(t))])
@@ -246,6 +297,10 @@ def test_training_records(spark):
     recs = spark.createDataFrame([(1, [5], [1], [5]), (1, [5, 6], [1, 1], [5, -100])], "b int, input_ids array<int>, attention_mask array<int>, labels array<int>")
     got = sorted((r.input_ids, r.labels) for r in bio.collate(recs, "b", 0).collect())
     assert got == [([5, 0], [5, -100]), ([5, 6], [5, -100])]
+    bad = spark.createDataFrame([(1, [5], [1], []), (2, [], [], [])], recs.schema)
+    for b in (1, 2):
+        with pytest.raises(Exception, match="record needs"):
+            bio.collate(bad.filter(F.col("b") == b), "b", 0).collect()
 
 
 def test_profile_searches_use_the_full_grid(spark, monkeypatch):

@@ -106,8 +106,8 @@ def test_replace_and_restore(one):
     t = "Ana called Ana."
     r = one((t, [(11, 14, "PERSON", None), (0, 3, "PERSON", None)]), T, redact.replace_spans(text, F.col("spans")))
     assert r == ("[PERSON_1] called [PERSON_2].", [("[PERSON_1]", "Ana"), ("[PERSON_2]", "Ana")], None)
-    assert one((t, [(0, 4, "A", None), (3, 6, "A", None)]), T, redact.replace_spans(text, F.col("spans"))) == (None, None, "spans must not overlap")
-    assert one((t, [(0, 99, "A", None)]), T, redact.replace_spans(text, F.col("spans")))[2] == "span exceeds text length"
+    assert one((t, [(0, 4, "A", None), (3, 6, "A", None)]), T, redact.replace_spans(text, F.col("spans"))) == (None, None, "spans overlap")
+    assert one((t, [(0, 99, "A", None)]), T, redact.replace_spans(text, F.col("spans")))[2] == "a span ends past the text"
     M = "text string, m array<struct<placeholder:string,value:string>>"
     assert one((r[0], r[1]), M, redact.restore(text, F.col("m"))) == (t, None)
     assert one(("gone", r[1]), M, redact.restore(text, F.col("m")))[1].endswith("exactly once")
