@@ -1,10 +1,11 @@
 """Personal information in free text (problem 6).
 
-Texts are deobfuscated without losing their place: the consistent form
-undoes look-alike letters, widths and invisible characters, a fold of equal
-length undoes case, accents and dash shapes, and spelled digits and at/dot
-disguises are part of the grammar. Detectors run on the folded text; spans are
-mapped back to the code points of the source.
+Texts are deobfuscated without losing their place, by three transducers one after
+the other: the consistent form undoes look-alike letters, widths and invisible
+characters; a fold of equal length undoes case, accents and dash shapes; the last
+writes spoken digits as digits and at/dot disguises as @ and dot. Each keeps where
+its output comes from. Detectors run on the plain text, and spans are mapped back
+through both maps to the code points of the source.
 
 Names follow a lexicon of given names and of ordinary words fitted on a bounded
 sample of annotated rows; the other types follow written rules.
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 import re
 import unicodedata as ud
+from array import array
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 
@@ -67,13 +70,68 @@ _AT = r"(?:@|[ \t]?[\[({<][ \t]?(?:AT|@|ARROBA|CHIOCCIOLA|ARROBASE)[ \t]?[\])}>]
 _DOT = r"(?:\.|[ \t]?[\[({<][ \t]?(?:DOT|PUNKT|PUNTO|POINT|PONTO|PUNT|\.)[ \t]?[\])}>][ \t]?)"
 _USER = r"[A-Z0-9](?:[A-Z0-9._%+\-]*[A-Z0-9_])?"
 _HOST = r"[A-Z0-9](?:[A-Z0-9\-]*[A-Z0-9])?"
-EMAIL = re.compile(
-    rf"(?<![A-Z0-9._%+\-@])(?:{_USER}{_AT}{_HOST}(?:{_DOT}{_HOST})*{_DOT}[A-Z]{{2,}}|{_USER}[ \t]AT[ \t]{_HOST}(?:[ \t]DOT[ \t]{_HOST})*[ \t]DOT[ \t][A-Z]{{2,}})(?![A-Z0-9@])"
+EMAIL = re.compile(rf"(?<![A-Z0-9._%+\-@]){_USER}@{_HOST}(?:\.{_HOST})*\.[A-Z]{{2,}}(?![A-Z0-9@])")
+# Digits as words, each with its digit.
+DIGITS = {
+    "0": "zero oh null cero nul ноль", "1": "one eins un uno um een один", "2": "two zwei deux dos due dois twee два", "3": "three drei trois tres tre três три",
+    "4": "four vier quatre cuatro quattro quatro четыре", "5": "five fünf cinq cinco cinque vijf пять", "6": "six sechs seis sei zes шесть", "7": "seven sieben sept siete sette sete zeven семь",
+    "8": "eight acht huit ocho otto oito восемь", "9": "nine neun neuf nueve nove negen девять", "+": "plus",
+}
+_DIGIT = {fold(w): d for d, words in DIGITS.items() for w in words.split()}
+_SPOKEN = _any(" ".join(_DIGIT))
+_RUN = rf"(?<!\w)(?:{_SPOKEN}|\+?\d\d?)(?:[ \t,-]+(?:{_SPOKEN}|\d\d?))+(?!\w)"
+_ITEM = re.compile(r"[^\W\d_]+|\+?\d+")
+# What the last transducer rewrites: a spoken run, a spelled address, and at and dot in brackets.
+_HIDDEN = re.compile(
+    rf"(?P<run>{_RUN})|(?<![A-Z0-9._%+\-@])(?P<bare>{_USER}[ \t]AT[ \t]{_HOST}(?:[ \t]DOT[ \t]{_HOST})*[ \t]DOT[ \t][A-Z]{{2,}})(?![A-Z0-9@])"
+    rf"|(?<=\w)(?P<at>{_AT})(?=[A-Z0-9])|(?<=\w)(?P<dot>{_DOT})(?=[A-Z0-9])"
 )
-_D = r"\d"
-# Digits as words.
-DIGITS = "zero one two three four five six seven eight nine oh null eins zwei drei vier fünf sechs sieben acht neun un deux trois quatre cinq sept huit neuf cero uno dos tres cuatro cinco seis siete ocho nueve due tre quattro cinque sei sette otto nove um dois três quatro sete oito nul een twee zes zeven negen ноль один два три четыре пять шесть семь восемь девять plus"
-SPELLED = re.compile(rf"(?<!\w){_any(DIGITS)}(?:[ \t,-]+{_any(DIGITS)}){{6,14}}(?!\w)")
+_BARE_PART = re.compile(r"[ \t](AT|DOT)[ \t]")
+_HINT = re.compile(rf"[\[({{<][ \t]?(?:AT|@|ARROBA|CHIOCCIOLA|ARROBASE|DOT|PUNKT|PUNTO|POINT|PONTO|PUNT|\.)[ \t]?[\])}}>]|[ \t]DOT[ \t]|(?<!\w){_SPOKEN}[ \t,-]+(?:{_SPOKEN}|\d\d?)(?!\w)")
+SPOKEN_LEAST, SHORTEST, LONGEST = 3, 7, 15  # words that make a run spoken; digits of a phone number
+
+
+def plain(low: str) -> tuple[str, array | None, list[tuple[int, int]]]:
+    """``low`` without spoken digits and at/dot disguises, where each character comes from, and the spoken numbers.
+
+    The map has one entry more than the text and is None where nothing was
+    rewritten. A run is rewritten if ``SPOKEN_LEAST`` of its digits are words.
+    """
+    if not _HINT.search(low):
+        return low, None, []
+    parts: list[str] = []
+    at, spoken, last, size = array("i"), [], 0, 0
+
+    def put(out: str, a: int, b: int) -> None:
+        """Rewrites ``low[a:b]`` as ``out``; what lies before it is kept."""
+        nonlocal last, size
+        parts.extend((low[last:a], out))
+        at.extend(range(last, a))
+        at.extend([a] * len(out))
+        size += a - last + len(out)
+        last = b
+
+    for m in _HIDDEN.finditer(low):
+        if m["run"]:
+            items = _ITEM.findall(m["run"])
+            digits = "".join(_DIGIT.get(x, x) for x in items)
+            if sum(x in _DIGIT for x in items) < SPOKEN_LEAST or not digits[1:].isdigit():
+                continue
+            put(digits, *m.span())
+            if SHORTEST <= len(digits.lstrip("+")) <= LONGEST:
+                spoken.append((size - len(digits), size))
+        elif m["bare"]:
+            for x in _BARE_PART.finditer(low, *m.span("bare")):
+                put("@" if x[1] == "AT" else ".", *x.span())
+        elif m[0] not in "@.":
+            put("@" if m["at"] else ".", *m.span())
+    if not last:
+        return low, None, []
+    parts.append(low[last:])
+    at.extend(range(last, len(low) + 1))
+    return "".join(parts), at, spoken
+
+
 PHONE = re.compile(
     r"(?<![\w+])(?<![\d)][./ -])(?:"
     r"\+\d{1,3}[ -]?(?:\(0\)[ ]?)?\d{1,4}(?:[ -]\d{2,4}){1,4}|\+\d{1,3}[ -]?\(\d{2,4}\)[ -]?\d{3}[ -]?\d{3,4}"
@@ -95,11 +153,25 @@ KINDS = (
     "codice~fiscale numero~previdenziale carta~d'identità passaporto patente segurança~social número~da~segurança~social cartão~de~cidadão passaporte carta~de~condução "
     "fiscaal~nummer burgernummer identiteitskaart paspoort rijbewijs налоговый~номер страховой~номер паспорт удостоверение водительские~права"
 )
-ID_NAMED = re.compile(rf"(?<!\w){_any(KINDS)}(?:[ \t]*(?:NO|NR|NUMBER|NUM|ID)(?!\w))?[ \t.:!?;,…#№=]*(?<!\w)(?P<id>{IDS})(?![\w])(?![-/]\d)")
+# Words that may stand between that word and the number.
+LINKS = "is was are reads ist lautet war est était es era è e é foi luidt это"
+ID_NAMED = re.compile(rf"(?<!\w){_any(KINDS)}(?:[ \t]*(?:NO|NR|NUMBER|NUM|ID)(?!\w))?(?:[ \t]*:?[ \t]+{_any(LINKS)}(?!\w)){{0,2}}[ \t.:!?;,…#№=]*(?<!\w)(?P<id>{IDS})(?![\w])(?![-/]\d)")
 ID_SHAPED = re.compile(
-    r"(?<![\w/-])(?:\d{2}/\d{3}/\d{5}|[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|[12] \d\d \d\d \d\d \d{3} \d{3}|9\d{2}-\d{2}-\d{4}|\d{2} \d{6} [A-Z] \d{3}"
+    r"(?<![\w/-])(?:\d{2}/\d{3}/\d{5}|[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|[12] \d\d \d\d \d\d \d{3} \d{3}|(?P<ssn>\d{3}-\d{2}-\d{4})|(?P<dni>[XYZ\d]\d{7}[A-Z])|\d{2} \d{6} [A-Z] \d{3}"
     r"|[A-Z]{2}-\d{6}-[A-Z]|[A-Z]\d{3}-\d{4}-\d{4}|[A-Z]{5}\d{6}[A-Z]{2})(?![\w/-])"
 )
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"  # Fixed value: the check letter of a Spanish number, by its rest
+
+
+def checked(m: re.Match[str]) -> bool:
+    """Whether a number without a word that names it keeps the rules of its kind: no empty group, the right check letter."""
+    if x := m["ssn"]:
+        return x[:3] not in ("000", "666") and x[4:6] != "00" and x[7:] != "0000"
+    if x := m["dni"]:
+        return DNI_LETTERS[int(x[:-1].translate({88: "0", 89: "1", 90: "2"})) % 23] == x[-1]
+    return True
+
+
 _NO = r"\d{1,4}[A-Z]?(?!\w)"
 # Words that name a kind of street, by where the name stands.
 ADDRESS = re.compile(
@@ -165,27 +237,40 @@ def find(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
     """Typed spans of ``text`` in code points, sorted and without overlaps."""
     form, at = canon_map(text)
     low = fold(form)
-    if "\n" in low or "\r" in low or "\t" in low:
-        blank = low.replace("\n", "\x1f").replace("\r", "\x1f")  # nothing runs over a line break
-    else:
-        blank = low
+    if "\n" in low or "\r" in low:
+        low = low.replace("\n", "\x1f").replace("\r", "\x1f")  # nothing runs over a line break
+    bare, back, spoken = plain(low)
+    shown = form if back is None else "".join(form[i] for i in back[:-1])  # the letters as written
     hits: list[tuple[int, int, int, str]] = []
-    hits += [(0, *m.span(), "EMAIL") for m in EMAIL.finditer(blank)]
-    hits += [(1, *m.span("id"), "ID_NUMBER") for m in ID_NAMED.finditer(blank) if sum(c.isdigit() for c in m["id"]) > 5]
-    hits += [(2, *m.span(), "ID_NUMBER") for m in ID_SHAPED.finditer(blank)]
-    hits += [(3, *m.span(), "ADDRESS") for m in ADDRESS.finditer(blank)]
-    hits += [(4, *m.span(), "PHONE") for m in PHONE.finditer(blank)]
-    hits += [(4, *m.span(), "PHONE") for m in SPELLED.finditer(blank)]
-    hits += [(5, a, b, "PERSON") for a, b in lex.persons(blank, form)]
+    hits += [(0, *m.span(), "EMAIL") for m in EMAIL.finditer(bare)]
+    hits += [(1, *m.span("id"), "ID_NUMBER") for m in ID_NAMED.finditer(bare) if sum(c.isdigit() for c in m["id"]) > 5]
+    hits += [(2, *m.span(), "ID_NUMBER") for m in ID_SHAPED.finditer(bare) if checked(m)]
+    hits += [(3, *m.span(), "ADDRESS") for m in ADDRESS.finditer(bare)]
+    hits += [(4, *m.span(), "PHONE") for m in PHONE.finditer(bare)]
+    hits += [(4, a, b, "PHONE") for a, b in spoken]
+    hits += [(5, a, b, "PERSON") for a, b in lex.persons(bare, shown)]
     hits.sort(key=lambda h: (h[0], h[1], -h[2]))
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # sorted and apart, so only the neighbours of a hit can overlap it
     for _, a, b, kind in hits:
-        if all(b <= x or y <= a for x, y, _ in taken):
-            taken.append((a, b, kind))
-    taken.sort()
+        i = bisect(taken, (a, b, kind))
+        if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+            taken.insert(i, (a, b, kind))
+    if back is not None:
+        taken = [(back[a], _source_end(low, back, b), kind) for a, b, kind in taken]
     return taken if at is None else [(at[a], _end(text, at, b), kind) for a, b, kind in taken]
 
 
+def _source_end(low: str, back: array, b: int) -> int:
+    """Where the source of the character before ``b`` ends, blanks at the end of a rewritten stretch left out."""
+    start = back[b - 1]
+    while back[b] == start:
+        b += 1
+    end = back[b]
+    while end > start + 1 and low[end - 1] in " \t":
+        end -= 1
+    return end
+
+
 def _end(text: str, at, b: int) -> int:
     """Where the source of the character before ``b`` ends, invisible ones after it left out."""
     end, low = at[b], at[b - 1] + 1

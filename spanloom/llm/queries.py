@@ -11,12 +11,12 @@ from ..sources.tables import table
 from . import perplexity
 from .canon import consistent_form, lookalike_pairs
 from .language import fit, language_cases, languages
-from .layout import FOLDS, kept_lines, layout_copies
+from .layout import kept_lines, layout_copies
 from .overlap import covered_records, cross_split_pairs, overlap_report
 from .packing import CAPACITY, pack_items
 from .personal import Lexicon, detect, fit_lexicon, scrubbed
 from .repeats import repetition, repetitive
-from .split import split_oversized
+from .split import checked_pieces, split_oversized
 from .tokens import encode_corpus, token_counts, token_sizes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,11 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "dataset_examples"))
 
 
+def p4_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the pieces of every text give it again, keep to the limit, and where its spans begin."""
+    return checked_pieces(p4_pieces(spark, folder), table(spark, folder, "dataset_examples"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return layout_copies(table(spark, folder, "example_lines"))
 
@@ -142,6 +147,10 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+# Small letters that case folding writes out or makes equal to another.
+FOLDS = {"ß": "ss", "ŉ": "ʼn", "ǰ": "ǰ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
 def _bare(path: str) -> str:
     """Letters and digits of a JSON field in SQL, case folded."""
     c = f"translate(lower(line ->> '$.{path}'), 'ςſ', 'σs')"
@@ -155,6 +164,9 @@ def oracle_sql() -> dict[str, str]:
     classes = f"WITH k AS (SELECT line_id, line, {keys} AS key FROM example_lines), m AS (SELECT key, min(line_id) AS keep_id, count(*) AS copies FROM k GROUP BY key)"
     return {
         "p4_found": "SELECT row_id FROM dataset_examples WHERE length(text) > 2000",
+        "p4_checked": """SELECT row_id, length(text)::INTEGER AS n, true AS rebuilt, true AS within,
+            len(list_distinct(list_transform(list_filter(coalesce(spans, []), x -> x.start >= 0 AND x.start < x.end AND x.start < length(text)), x -> x.start)))::INTEGER AS starts
+            FROM dataset_examples WHERE length(text) > 2000""",
         "p5_found": f"{classes} SELECT keep_id, line_id FROM k JOIN m USING (key) WHERE line_id > keep_id",
         "p5_kept": f"{classes} SELECT keep_id, line, copies FROM k JOIN m USING (key) WHERE line_id = keep_id",
     }

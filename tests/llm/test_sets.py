@@ -25,6 +25,22 @@ def test_layout_copies(spark):
     assert kept == {1: 3, 3: 1, 4: 3, 6: 2, 9: 1, 11: 1} and layout.layout_copies(df.limit(0)).count() == 0
 
 
+def test_a_record_that_is_most_of_the_table(spark):
+    hot, rows = json.dumps({"id": "h", "text": "abc"}), []
+    for i in range(3000):
+        rows.append((i, hot if i % 10 else json.dumps({"id": f"x{i // 20}", "text": "acb"})))
+    got = layout.layout_classes(spark.createDataFrame(rows, "line_id long, line string").repartition(4)).collect()
+    assert len(got) == 3000
+    for r in got:
+        assert (r.keep_id, r.copies) == ((1, 2700) if r.line_id % 10 else (r.line_id // 20 * 20, 2))
+
+
+def test_invariants_do_not_tell_all(spark):
+    a, b = (layout.record_of(json.dumps({"id": 1, "text": t})) for t in ("ab 12", "BA 12"))
+    assert layout.invariants(a) == layout.invariants(b) and a != b
+    assert layout.record_of('{"id": 1.50, "text": null, "source": [1]}') == ("150", "", "1", "")
+
+
 def test_layout_copies_against_brute_force(spark):
     by = {}
     for r in spark.read.parquet(f"{DATA}/example_lines.parquet").collect():

@@ -168,6 +168,33 @@ def test_splitting_prefers_structure():
         split.split_text("x", 10, 10)
 
 
+def pieces(text, limit):
+    return [text[f:b] for _, b, f in split.split_text(text, limit, 0)]
+
+
+def test_siblings_merge_within_their_parent():
+    a, a1, a2, b = "# A\n" + "a" * 20 + "\n", "## A1\n" + "b" * 50 + "\n", "## A2\n" + "c" * 60 + "\n", "# B\n" + "d" * 50 + "\n"
+    assert pieces(a + a1 + a2 + b, 170) == [a + a1 + a2, b]
+    assert pieces(a + a1 + a2 + b, 100) == [a + a1, a2, b]  # A2 is no sibling of B
+    assert pieces(a + "x " * 60 + "\n" + a1, 100)[-1] == a1
+
+
+def test_nested_lists_setext_and_markup():
+    assert pieces("Intro:\n- one aaaa\n  - one b bbbb\n  - one c cccc\n- two dddd\n- three eee\n", 50) == ["Intro:\n- one aaaa\n  - one b bbbb\n  - one c cccc\n", "- two dddd\n- three eee\n"]
+    title = "Title text\n==========\nbody body body body\n\n"
+    assert pieces("Para one here.\n\n" + title + "Second\n------\nmore more more more", 45) == ["Para one here.\n\n", title, "Second\n------\nmore more more more"]
+    assert pieces("Words words words.\n\n" + title, 30)[1] == "Title text\n==========\n"
+    assert pieces("<div><p>aaaa aaaa</p><p>bbbb bbbb</p></div><div><p>cccc cccc</p></div>", 45) == ["<div><p>aaaa aaaa</p><p>bbbb bbbb</p></div>", "<div><p>cccc cccc</p></div>"]
+    assert pieces("<ul><li>aaaa aaaa<li>bbbb bbbb<li>cccc</ul> tail text", 25) == ["<ul><li>aaaa aaaa", "<li>bbbb bbbb", "<li>cccc</ul> ", "tail text"]
+    assert pieces("Text.\n\n```\n# no heading\n\nx\n```\n\n# One\nyy", 35) == ["Text.\n\n```\n# no heading\n\nx\n```\n\n", "# One\nyy"]
+
+
+def test_pieces_are_checked(spark):
+    from spanloom.llm.queries import p4_checked
+
+    assert {(r.rebuilt, r.within) for r in p4_checked(spark, DATA).collect()} == {(True, True)}
+
+
 def test_pieces_carry_spans(spark):
     text = "Sentence number one. " * 200
     spans = [(0, 8, "A"), (1700, 1900, "B"), (4190, 4300, "BAD"), (None, 3, "BAD"), (9, 3, "BAD")]
@@ -209,6 +236,34 @@ def test_mentions(text, want):
     assert mentions(text) == want
 
 
+FEW = personal.Lexicon({"ANNA"}, {"CALL", "MY", "IS"}, set())
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("Call 5 five 5 one two three four now", [("5 five 5 one two three four", "PHONE")]),
+    ("Call plus four nine, one seven zero - five five one two.", [("plus four nine, one seven zero - five five one two", "PHONE")]),
+    ("Neun, one dog and two cats", []), ("1 2 3 4 5 6 7 8", []),
+    ("My SSN is 123-45-6789.", [("123-45-6789", "ID_NUMBER")]), ("912-45-6789 or 000-45-6789, 123-00-6789", [("912-45-6789", "ID_NUMBER")]), ("123-45-6789", [("123-45-6789", "ID_NUMBER")]),
+    ("passport number: one two three four five six seven eight nine!", [("one two three four five six seven eight nine", "ID_NUMBER")]),
+    ("12345678Z but 12345678A", [("12345678Z", "ID_NUMBER")]), ("Mein Reisepass lautet C01X00T47", [("C01X00T47", "ID_NUMBER")]),
+    ("to аnnа.b [at] mаil (dot) example dot", [("аnnа.b [at] mаil (dot) example", "EMAIL")]), ("ｊｉｍ AT site DOT example DOT org, bye", [("ｊｉｍ AT site DOT example DOT org", "EMAIL")]),
+    ("look (at) this. dot net", []),
+])
+def test_disguises(text, want):
+    assert [(text[a:b], k) for a, b, k in personal.find(text, FEW)] == want
+
+
+@given(st.lists(st.sampled_from(["four", "5", " ", " [at] ", "b", "(dot)", ",", " DOT ", "AT", "é", "\n", "plus "]), max_size=25))
+@settings(max_examples=200, deadline=None)
+def test_plain_text_is_mapped(parts):
+    low = personal.fold("".join(parts))
+    bare, back, spoken = personal.plain(low)
+    if back is not None:
+        assert len(back) == len(bare) + 1 and back[-1] == len(low) and list(back) == sorted(back)
+        assert all(low[back[i]] == c for i, c in enumerate(bare) if back[i + 1] - back[i] == 1 and c not in "@.0123456789+")
+    assert all(bare[a:b].lstrip("+").isdigit() for a, b in spoken)
+
+
 def test_long_texts_stay_linear():
     rng = random.Random(0)
     blob = "".join(rng.choice("ABCxyz019+/") for _ in range(200_000))
