@@ -10,7 +10,6 @@ one pass and each distinct cluster is worked out once per process.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata as ud
 from array import array
 
@@ -19,15 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of other scripts drawn like a Latin letter.
-LOOKALIKES = {
-    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O",
-    "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ԛ": "Q", "Ԝ": "W",
-    "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x",
-    "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
-    "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
-}
+# Letters of other scripts drawn like a Latin letter; each pair of strings goes letter by letter.
+_DRAWN_ALIKE = (
+    ("АВЕЅІЈКМНОРСТУХԚԜӀ", "ABESIJKMHOPCTYXQWI"), ("аеѕіјорсухһԁԛԝѵӏ", "aesijopcyxhdqwvl"),  # Cyrillic
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"), ("ονϲϳ", "ovcj"),  # Greek
+    ("ՕՏԼ", "OSL"), ("օսհզց", "ouhqg"),  # Armenian
+    ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"),  # Cherokee
+    ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),  # Lisu
+    ("ɑɡ", "ag"),  # Latin letters of phonetic writing
+)
+LOOKALIKES = {a: b for others, latin in _DRAWN_ALIKE for a, b in zip(others, latin, strict=True)}
 # Controls that lay text out and so show something.
 LAYOUT = "\t\n\v\f\r\x85"
 ZWJ = "\u200d"
@@ -42,44 +42,70 @@ def _invisible(ch: str) -> bool:
     return cp in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0x180B <= cp <= 0x180F or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF
 
 
-def _single(ch: str) -> str | None:
-    """What a character alone becomes; None if it stays."""
-    if _invisible(ch):
-        return ""
-    if ud.category(ch) == "Zs":
-        return " " if ch != " " else None
-    if ch in LOOKALIKES:
-        return LOOKALIKES[ch]
+def _width(ch: str) -> str | None:
+    return ud.normalize("NFKC", ch) if ud.decomposition(ch).startswith(("<wide>", "<narrow>")) else None
+
+
+def _joined(ch: str) -> str | None:
+    """Several Latin letters in one sign: ligatures, digraphs, Roman numerals."""
     kind, _, rest = ud.decomposition(ch).partition(" ")
-    if kind in ("<wide>", "<narrow>"):
-        return ud.normalize("NFKC", ch)
-    if kind == "<compat>" and ("LIGATURE" in ud.name(ch, "") or "DIGRAPH" in ud.name(ch, "")) and "LATIN" in ud.name(ch, ""):
+    name = ud.name(ch, "")
+    if kind == "<compat>" and ("LATIN" in name and ("LIGATURE" in name or "DIGRAPH" in name) or "ROMAN NUMERAL" in name):
         return "".join(chr(int(x, 16)) for x in rest.split())
     return None
 
 
+def _styled(ch: str) -> str | None:
+    """A letter or digit in one of the typefaces that have signs of their own."""
+    return ud.normalize("NFKC", ch) if ud.decomposition(ch).startswith("<font>") else None
+
+
+def _composed(ch: str) -> str | None:
+    """A letter with marks whose base is drawn like a Latin letter."""
+    d = ud.normalize("NFD", ch)
+    if d == ch or ud.category(ch)[0] == "M":
+        return None
+    whole = ud.normalize("NFC", "".join(LOOKALIKES.get(x, x) for x in d))
+    return whole if whole != ch else None
+
+
+RULES = (
+    lambda ch: "" if _invisible(ch) else None, lambda ch: " " if ud.category(ch) == "Zs" and ch != " " else None,
+    LOOKALIKES.get, _width, _joined, _styled, _composed,
+)
+
+
 def _compile() -> tuple[dict[str, str], list[int], list[int]]:
-    """The table of single characters, its keys, and what extends a cluster."""
-    table, extend = {}, []
+    """The table of single characters, its keys, and what extends a cluster.
+
+    A character that two rules rewrite must come out the same in the end,
+    whichever goes first, and nothing that comes out may be rewritten again.
+    """
+    ways: dict[str, set[str]] = {}
+    extend = []
     for cp in [*range(0x3400), *range(0xA000, 0xAC00), *range(0xD7B0, 0x20000), *range(0xE0000, 0xE01F0)]:  # the rest are ideographs and syllables
         if 0xD800 <= cp < 0xE000:
             continue
         ch = chr(cp)
-        cat = ud.category(ch)
-        if cat in ("Mn", "Mc", "Me") or _invisible(ch):
+        if ud.category(ch) in ("Mn", "Mc", "Me") or _invisible(ch):
             extend.append(cp)
-        out = _single(ch)
-        if out is None and cat[0] != "M" and (d := ud.normalize("NFD", ch)) != ch:  # composed: its base may be a look-alike
-            whole = ud.normalize("NFC", "".join(LOOKALIKES.get(x, x) for x in d))
-            out = whole if whole != ch else None
-        if out is not None:
-            table[ch] = out
-    for ch, out in table.items():  # no chains and no two ways to rewrite
-        if any(x in table and table[x] != x for x in out):
-            table[ch] = "".join(table.get(x, x) for x in out)
+        if outs := {out for rule in RULES if (out := rule(ch)) is not None and out != ch}:
+            ways[ch] = outs
+
+    def final(text: str) -> str:
+        for _ in range(4):
+            text = "".join(next(iter(ways[x])) if len(ways.get(x, ())) == 1 else x for x in text)
+        return ud.normalize("NFC", text)
+
+    table = {}
+    for ch, outs in ways.items():
+        ends = {final(out) for out in outs}
+        if len(ends) > 1:
+            raise ValueError(f"two rules rewrite {ch!r}: {sorted(ends)!r}")
+        (table[ch],) = ends
     bad = [ch for ch, out in table.items() if any(table.get(x, x) != x for x in out)]
     if bad:
-        raise ValueError(f"conflicting rules for {bad[:5]!r}")
+        raise ValueError(f"rules rewrite their own output for {bad[:5]!r}")
     return table, sorted(map(ord, table)), extend
 
 
@@ -108,6 +134,8 @@ _BEYOND = re.compile("[\U00010000-\U0010ffff]")
 
 def _clusters(text: str) -> re.Pattern[str]:
     return _CLUSTER if _RARE.isdisjoint(_BEYOND.findall(text)) else _CLUSTER_ALL
+
+
 _PLAIN = re.compile(r"[^\t-\r -~]")
 
 
@@ -124,6 +152,8 @@ class _Memo(dict):
             kept = "".join(x for x in ud.normalize("NFD", cluster) if not _invisible(x))
             out = ud.normalize("NFC", "".join(TABLE.get(x, x) for x in kept))
             out = "".join(TABLE.get(x, x) for x in out)
+            if (joiner := _joiner(cluster)) and kept:  # shows in how the letters around it are drawn
+                out += joiner
         if len(self) > 200_000:  # unbounded input must not grow the table for ever
             self.clear()
         self[cluster] = out
@@ -131,13 +161,28 @@ class _Memo(dict):
 
 
 _MEMO = _Memo()
+JOINERS = "\u200c\u200d"
+# Blocks whose letters join with their neighbours: Arabic and its kin, Mongolian.
+_JOINING = ((0x620, 0x8FF), (0x1800, 0x18AF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC))
+# A joiner that nothing follows which it could part or join.
+_IDLE = re.compile("[\u200c](?![\u0620-\u08ff\u0900-\u0dff\u1800-\u18af\ufb50-\ufdff\ufe70-\ufefc])")
+
+
+def _joiner(cluster: str) -> str:
+    """The joiner at the end of a cluster where it shows: behind a joining letter, or a sign that kills a vowel."""
+    if cluster[-1] not in JOINERS:
+        return ""
+    before = cluster.rstrip(JOINERS)
+    joins = any(a <= ord(before[0]) <= b for a, b in _JOINING) or ud.combining(before[-1]) == 9
+    return cluster[-1] if joins and (cluster[-1] == "\u200c" or ud.combining(before[-1]) == 9) else ""
 
 
 def canon(text: str) -> str:
     """The consistent form of ``text``."""
     if text.isascii() and not _PLAIN.search(text):
         return text
-    return _clusters(text).sub(lambda m: _MEMO[m[0]], text)
+    form = _clusters(text).sub(lambda m: _MEMO[m[0]], text)
+    return _IDLE.sub("", form) if "\u200c" in form else form
 
 
 _TWO_CASED = re.compile("[\u0370-\u052f]")
@@ -153,6 +198,21 @@ def raised(text: str) -> str:
     return canon(up) if not up.isascii() and _TWO_CASED.search(up) else up
 
 
+def raised_map(text: str) -> tuple[str, array | None]:
+    """:func:`raised` with where each of its characters comes from, as in :func:`canon_map`."""
+    form, at = canon_map(text)
+    up = form.upper()
+    if len(up) != len(form):  # capitals are made character by character
+        wide = array("i", [i for i, c in enumerate(form) for _ in c.upper()] + [len(form)])
+        at = wide if at is None else array("i", [at[i] for i in wide])
+    if up.isascii() or not _TWO_CASED.search(up):
+        return up, at
+    last, back = canon_map(up)
+    if back is not None:
+        at = back if at is None else array("i", [at[i] for i in back])
+    return last, at
+
+
 def canon_map(text: str) -> tuple[str, array | None]:
     """The consistent form, and for each of its characters where its source cluster starts.
 
@@ -182,6 +242,9 @@ def canon_map(text: str) -> tuple[str, array | None]:
     if same:
         return form, None
     at.extend(range(last, len(text) + 1))
+    if "\u200c" in form:
+        kept = [i for i in range(len(form)) if not _IDLE.match(form, i)]
+        form, at = "".join(form[i] for i in kept), array("i", [*(at[i] for i in kept), len(text)])
     return form, at
 
 
@@ -225,7 +288,3 @@ def lookalike_pairs(df: DataFrame, row_id: str = "row_id", text: str = "text") -
     right = members.select(F.col("row").alias("b"), F.col("t1").alias("u1"), F.col("t2").alias("u2"))
     pairs = links.join(left, ["t1", "t2"]).join(right, ["u1", "u2"])
     return pairs.select(F.least("a", "b").alias("row_a"), F.greatest("a", "b").alias("row_b"))
-
-
-if sys.maxunicode < 0x10FFFF:  # pragma: no cover
-    raise ImportError("wide Unicode is needed")

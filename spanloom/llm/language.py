@@ -5,12 +5,12 @@ each language; an unseen word by the longest of its character n-grams that is
 known, falling back to shorter ones. A text is then the cheapest path over its
 words, where a change of language costs ``SWITCH``. Names, numbers and
 addresses say nothing: they are masked in training by the annotated spans, and
-an unseen word weighs ``UNSEEN`` of a known one.
+an unseen word weighs ``UNSEEN`` of a known one. A stretch whose words are nearly
+all unseen is in none of the model's languages and gets ``OTHER``.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .canon import raised
+from .canon import raised, raised_map
 from .sample import bounded_sample
 
 LANGUAGES = ["de", "en", "es", "fr", "it", "nl", "pt", "ru"]
 SAMPLE = 12_000  # annotated rows the model is fitted on, at most
 SWITCH, UNSEEN, FLOOR = 9.0, 0.1, 6.0
+OTHER, OTHER_WORDS, OTHER_SHARE = "und", 5, 0.2  # the code of another language: of so many words, less than this share is known
 # Spellings of a language besides its two-letter code.
 SPELLINGS = {
     "de": "deu ger german deutsch", "en": "eng english", "es": "spa spanish español espanol castellano", "fr": "fra fre french français francais",
@@ -35,6 +36,7 @@ NAMES = {w: k for k, v in SPELLINGS.items() for w in [k, *v.split()]}
 _CODE = re.compile(r"[\d@#/_\\]|.[.:].+\..")  # numbers, addresses, host names
 _DISGUISED = re.compile(r"[\[({] ?AT ?[\])}] ?\S+(?: ?[\[({] ?DOT ?[\])}] ?\S+)*")
 _WORD = re.compile(r"[^\W\d_]+")
+_TOKEN = re.compile(r"\S+")
 _BOUND = "\x02"
 
 
@@ -59,6 +61,20 @@ def words_in(text: str) -> list[str]:
     return out
 
 
+def places_in(text: str) -> list[int]:
+    """Where the words of :func:`words_in` begin in ``text``."""
+    up, at = raised_map(text)
+    if "AT" in up and ("(" in up or "[" in up or "{" in up):
+        up = _DISGUISED.sub(lambda m: " " * len(m[0]), up)
+    out = []
+    for m in _TOKEN.finditer(up):
+        if m[0].isalpha():
+            out.append(m.start())
+        elif not _CODE.search(m[0]):
+            out += [m.start() + x.start() for x in _WORD.finditer(m[0])]
+    return out if at is None else [at[i] for i in out]
+
+
 class Model:
     """Log frequencies by language of words, and of n-grams for the rest."""
 
@@ -143,6 +159,7 @@ class Model:
             return [[] for _ in texts]
         numbers = self._numbers(words)  # may add rows
         scores = self.rows[numbers]
+        seen = np.concatenate([[0], np.cumsum(numbers < self.fixed - 1)])
         run = np.concatenate([np.zeros((1, len(LANGUAGES))), np.cumsum(scores, axis=0, dtype=np.float64)])
         at = np.array(ends)
         totals = run[at[1:]] - run[at[:-1]]
@@ -155,13 +172,20 @@ class Model:
             if a == b or not tells[i]:
                 out.append([])
             elif -top[i] < SWITCH or _stays(run[a : b + 1], best[i]):  # no change can gain what it costs: every word's best is 0
-                out.append([(LANGUAGES[best[i]], float(sure[i]), b - a)])
+                out.append([self._named(LANGUAGES[best[i]], float(sure[i]), b - a, seen[b] - seen[a])])
             else:
                 path = _path(scores[a:b])
                 cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), b - a]
-                out.append([(LANGUAGES[path[x]], _confidence(scores[a + x : a + y].sum(axis=0, dtype=np.float64)), y - x) for x, y in zip(cuts, cuts[1:])])
+                out.append([self._named(LANGUAGES[path[x]], _confidence(scores[a + x : a + y].sum(axis=0, dtype=np.float64)), y - x, seen[a + y] - seen[a + x]) for x, y in zip(cuts, cuts[1:])])
         return out
 
+    @staticmethod
+    def _named(language: str, confidence: float, words: int, seen: int) -> tuple[str, float, int]:
+        """The stretch, or one in another language, which is as sure as its words are unseen."""
+        if words >= OTHER_WORDS and seen < OTHER_SHARE * words:
+            return OTHER, 1 - int(seen) / words, words
+        return language, confidence, words
+
 
 def _stays(run: np.ndarray, base: int) -> bool:
     """Whether no path gains over staying in language ``base``, from running sums of scores.
@@ -213,7 +237,7 @@ def fit(df: DataFrame, text: str = "text", language: str = "language", spans: st
     time each stretch counts for the language the first model gives it.
     """
     rows = df.select(F.col(text).alias("t"), F.col(spans).alias("s"), code_of(F.col(language)).alias("k"), F.col(key).alias("id"))
-    rows = rows.filter("t is not null and s is not null and k is not null and length(t) <= 2000")
+    rows = rows.filter("t is not null and s is not null and k is not null")
     picked = bounded_sample(rows, "id", sample).select("t", "s", "k").toPandas()
     texts = [(_masked(t, s), k) for t, s, k in zip(picked.t, picked.s, picked.k)]
     counts: dict[str, Counter] = defaultdict(Counter)
@@ -224,28 +248,42 @@ def fit(df: DataFrame, text: str = "text", language: str = "language", spans: st
     for t, _ in texts:
         words, at = words_in(t), 0
         for k, _, n in first.stretches(t):
-            again[k].update(words[at : at + n])
+            if k != OTHER:
+                again[k].update(words[at : at + n])
             at += n
     return Model(again) if again else first
 
 
-STRETCH = "seg_no int, language string, confidence double, words int"
+STRETCH = "seg_no int, language string, confidence double, words int, start int, end int"
+
+
+def _bounds(text: str | None, stretches: list[tuple[str, float, int]]) -> list[tuple[int, int]]:
+    """Where stretches lie in ``text``: each but the first begins with its first word, the last ends with the text."""
+    if len(stretches) < 2:
+        return [(0, len(text or ""))] * len(stretches)
+    places, at, cuts = places_in(text), 0, [0]
+    for _, _, n in stretches[:-1]:
+        at += n
+        cuts.append(places[at])
+    return list(zip(cuts, [*cuts[1:], len(text)]))
 
 
 def languages(df: DataFrame, model: Model, row_id: str = "row_id", text: str = "text", label: str | None = "language") -> DataFrame:
     """``row_id, code, segments``: the label's code and the stretches of each text in order.
 
-    Null, empty and wordless texts have no segment. Work is per row.
+    A stretch has its language, a confidence, its number of words and its place
+    in code points; stretches cover the text. Null, empty and wordless texts have
+    no segment. Work is per row.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        kind = pa.list_(pa.struct([("seg_no", pa.int32()), ("language", pa.string()), ("confidence", pa.float64()), ("words", pa.int32())]))
+        kind = pa.list_(pa.struct([("seg_no", pa.int32()), ("language", pa.string()), ("confidence", pa.float64()), ("words", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
             texts = b.column(2).to_pylist()
             found = [x for k in range(0, len(texts), 1000) for x in m.stretches_of(texts[k : k + 1000])]
-            segs = [[{"seg_no": i, "language": k, "confidence": c, "words": n} for i, (k, c, n) in enumerate(x, 1)] for x in found]
+            segs = [[{"seg_no": i, "language": k, "confidence": c, "words": n, "start": x, "end": y} for i, ((k, c, n), (x, y)) in enumerate(zip(s, _bounds(t, s)), 1)] for t, s in zip(texts, found)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(segs, kind)], ["row_id", "code", "segments"])
 
     src = df.select(F.col(row_id).cast("long").alias("row_id"), (code_of(F.col(label)) if label else F.lit(None).cast("string")).alias("code"), F.col(text).cast("string").alias("_t"))
@@ -258,8 +296,3 @@ def language_cases(df: DataFrame, model: Model | None = None) -> DataFrame:
     wrong = F.col("code").isNull() | (F.size("segments") > 1) | (F.col("segments")[0]["language"] != F.col("code"))
     rows = found.filter("size(segments) > 0").filter(wrong).select("row_id", F.explode("segments").alias("s"))
     return rows.select("row_id", F.col("s.seg_no").alias("seg_no").cast("long"), F.col("s.language").alias("language"))
-
-
-def log_odds(model: Model, word: str) -> dict[str, float]:
-    """How far each language lies behind the best one for ``word``."""
-    return {k: round(float(x), 2) for k, x in zip(LANGUAGES, model.row(word)) if not math.isnan(x)}

@@ -82,8 +82,6 @@ def encoder(folder: str = FOLDER, model: str = MODEL) -> Encoder:
 # ---- problem 8
 
 MASK = np.uint64(127)  # a cut after one position in 128 on average
-_SAFE = re.compile(" (?=[!-~])")
-_EXACT = re.compile(r" [!-~]")
 
 
 def _cuts(data: np.ndarray) -> np.ndarray:
@@ -211,21 +209,24 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_t")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def token_sizes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = FOLDER, model: str = MODEL) -> DataFrame:
-    """``doc_id, tokens``: the size of each text by direct encoding; null and empty texts have 0."""
+def token_sizes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = FOLDER, model: str = MODEL, keep: list[str] | None = None) -> DataFrame:
+    """``doc_id, tokens`` and the columns ``keep``: the size of each text by direct encoding; null and empty texts have 0."""
+    src = df.select(F.col(doc_id).cast("long").alias("doc_id"), *(keep or ()), F.col(text).cast("string").alias("_t"))
+    names = ["doc_id", *(keep or ()), "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(folder, model).bpe
         for b in batches:
-            sizes = [len(bpe.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], ["doc_id", "tokens"])
+            sizes = [len(bpe.encode_ordinary(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sizes, pa.int64())], names)
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_t")).mapInArrow(run, "doc_id long, tokens long")
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("tokens", T.LongType())]))
 
 
 # ---- problem 3
 
-LOCAL = 4  # a piece met more often in one task is counted there, with its cached length
+LOCAL = 4  # texts of one task that hold a piece before the task works out its length itself
+ROOM = 1_000_000  # pieces a task keeps in mind
 
 
 def _count_task(key_cols: list[str], folder: str, model: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -248,9 +249,9 @@ def _count_task(key_cols: list[str], folder: str, model: str) -> Callable[[Itera
                     if met[p] >= LOCAL:
                         length[p] = len(enc.piece(p)) // 4
                         del met[p]
-                if len(met) > 1_000_000:
+                if len(met) > ROOM:  # counting begins again; only where a piece is counted changes
                     met.clear()
-                if len(length) > 1_000_000:
+                if len(length) > ROOM:
                     length.clear()
                 known.append(n)
                 pieces.append(list(rest))
@@ -264,12 +265,15 @@ def _count_task(key_cols: list[str], folder: str, model: str) -> Callable[[Itera
 def token_counts(df: DataFrame, keys: list[str], text: str = "text", folder: str = FOLDER, model: str = MODEL) -> DataFrame:
     """``keys..., tokens``: the exact number of tokens of each row's text.
 
-    Texts are split as the tokenizer splits them. Pieces that are tokens of the
-    vocabulary count one. Every other distinct piece is tokenized once and its
-    length joined with the frequencies of the pieces per text; a piece that one
-    task meets ``LOCAL`` times is counted within the task from then on, which
-    keeps words common to all texts out of the shuffle. ``keys`` must name a row.
-    Null and empty texts have 0 tokens; an empty table gives no rows.
+    Texts are split as the tokenizer splits them. A piece that is a token of the
+    vocabulary counts one. Every other distinct piece is tokenized once and its
+    length joined with the frequencies of the pieces per text. A piece that one
+    task meets in ``LOCAL`` texts is tokenized once more there and its length kept
+    for the rest of the task: so a common piece leaves a task at most ``LOCAL``
+    times, however many texts hold it, and no task of the join gets a hot piece.
+    Rows are told apart by a number of their own, so equal keys stay apart; keys
+    and what is known of a row meet the sum of its other pieces once. Null and
+    empty texts have 0 tokens; an empty table gives no rows.
     """
     src = df.select(*keys, F.col(text).cast("string").alias("_t"))
     key_fields = src.schema.fields[:-1]
@@ -277,9 +281,9 @@ def token_counts(df: DataFrame, keys: list[str], text: str = "text", folder: str
     schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, key_fields)] + [
         T.StructField("known", T.LongType()), T.StructField("pieces", T.ArrayType(T.StringType())), T.StructField("freqs", T.ArrayType(T.IntegerType())),
     ])
-    split = written(src.mapInArrow(_count_task(names, folder, model), schema), "token-pieces")
-    split = split.withColumn("row", F.xxhash64(*names) if len(names) > 1 else F.col("k0"))
-    rare = split.select(*names, F.explode(F.arrays_zip("pieces", "freqs")).alias("p")).select(*names, F.col("p.pieces").alias("piece"), F.col("p.freqs").alias("freq"))
+    split = src.mapInArrow(_count_task(names, folder, model), schema).withColumn("row", F.monotonically_increasing_id())
+    split = written(split, "token-pieces")  # which also fixes the numbers
+    rare = split.select("row", F.explode(F.arrays_zip("pieces", "freqs")).alias("p")).select("row", F.col("p.pieces").alias("piece"), F.col("p.freqs").alias("freq"))
 
     @F.pandas_udf(T.IntegerType())
     def length(pieces: pd.Series) -> pd.Series:
@@ -287,7 +291,17 @@ def token_counts(df: DataFrame, keys: list[str], text: str = "text", folder: str
         return pieces.map(lambda p: len(enc.piece(p)) // 4)
 
     distinct = rare.groupBy("piece").agg(F.count(F.lit(1)).alias("texts")).select("piece", length("piece").alias("len"))
-    rest = rare.join(distinct, "piece").select(*names, (F.col("freq") * F.col("len")).cast("long").alias("n"))
-    parts = split.select(*names, F.col("known").alias("n")).unionByName(rest)
-    total = parts.groupBy(*names).agg(F.sum("n").alias("tokens"))
-    return total.select(*(F.col(n).alias(k) for n, k in zip(names, keys)), "tokens")
+    rest = rare.join(distinct, "piece").groupBy("row").agg(F.sum((F.col("freq") * F.col("len")).cast("long")).alias("n"))
+    total = split.select("row", *names, "known").join(rest, "row", "left")
+    return total.select(*(F.col(n).alias(k) for n, k in zip(names, keys)), (F.col("known") + F.coalesce("n", F.lit(0))).alias("tokens"))
+
+
+def decoded(encoded: DataFrame, folder: str = FOLDER, model: str = MODEL) -> DataFrame:
+    """``doc_id, decoded``: the text that the ids of :func:`encode_corpus` stand for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(folder, model).bpe
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(ids) for ids in b.column(1).to_pylist()], pa.string())], ["doc_id", "decoded"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded string")

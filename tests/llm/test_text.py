@@ -34,6 +34,33 @@ def test_form_is_stable_and_mapped(t):
         assert len(at) == len(form) + 1 and at[-1] == len(t) and list(at) == sorted(at)
 
 
+@pytest.mark.parametrize(("a", "b"), [("𝐀𝒃𝟙", "Ab1"), ("Ⅳ ⅷ", "IV viii"), ("ᎪꓐԼ ɑ", "ABL a"), ("می\u200c x", "می x"), ("a\u200cb", "ab")])
+def test_more_rules(a, b):
+    assert canon.canon(a) == b == canon.canon(b)
+
+
+@pytest.mark.parametrize("t", ["می\u200cخواهم", "क्\u200dष", "क्\u200cष"])
+def test_joiners_that_show_stay(t):
+    assert canon.canon(t) == t != canon.canon(t.replace("\u200c", "").replace("\u200d", ""))
+
+
+def test_two_rules_for_one_sign_are_an_error(monkeypatch):
+    monkeypatch.setattr(canon, "RULES", (*canon.RULES, lambda ch: "z" if ch == "ﬁ" else None))
+    with pytest.raises(ValueError, match="two rules"):
+        canon._compile()
+    monkeypatch.setattr(canon, "RULES", (lambda ch: "b" if ch == "a" else "a" if ch == "b" else None,))
+    with pytest.raises(ValueError):
+        canon._compile()
+
+
+@given(st.text(st.sampled_from("aßŉﬁА́ｗ\u200b\u200cم н𝐀 "), max_size=20))
+@settings(max_examples=300, deadline=None)
+def test_capitals_are_mapped(t):
+    up, at = canon.raised_map(t)
+    assert up == canon.raised(t) and (at is None and len(up) == len(t) or len(at) == len(up) + 1 and list(at) == sorted(at))
+    assert len(language.places_in(t)) == len(language.words_in(t))
+
+
 def test_pairs(spark):
     rows = [(1, "Dear", 0), (2, "Ｄear", 0), (3, "Dear", 0), (4, "dear", 0), (5, None, 0), (6, "", 0), (7, "​", 0)]
     df = spark.createDataFrame(rows, "row_id long, text string, c1 int")  # c1: a clashing name
@@ -79,6 +106,19 @@ def small_model(**words):
     return language.Model({k: Counter(words.get(k, {})) for k in language.LANGUAGES})
 
 
+def test_places_and_other_languages(spark):
+    df = spark.createDataFrame([(i, t, "en", []) for i, t in enumerate(["the dog and the cat are in the house today", "der Hund und die Katze sind heute in dem Haus"] * 40)], "row_id long, text string, language string, spans array<struct<start:int,end:int,entity_type:string>>")
+    df = df.withColumn("language", F.when(F.col("row_id") % 2 == 0, "en").otherwise("de"))
+    model = language.fit(df)
+    en, de = "The dog and the cat are in the house today.", "ﬁ Der Hund und die Katze sind heute in dem Haus."
+    rows = [(1, f"{en} {de}", None), (2, "kukuruku zaqwe mnbv lkjhg poiuy trewq", None), (3, de, "x" * 3), (4, "", None), (5, None, None)]
+    got = {r.row_id: r.segments for r in language.languages(spark.createDataFrame(rows, "row_id long, text string, language string"), model).collect()}
+    (a, b) = got[1]
+    assert (a.language, b.language, a.start, a.end, b.end) == ("en", "de", 0, b.start, len(rows[0][1])) and abs(b.start - len(en)) < 6
+    assert [(s.language, s.start, s.end) for s in got[2]] == [("und", 0, len(rows[1][1]))] and got[2][0].confidence > 0.8
+    assert [s.language for s in got[3]] == ["de"] and got[4] == got[5] == []
+
+
 def test_unseen_words_are_walked_to_their_end():
     model = small_model(de={"STRASSE": 9}, en={"STREET": 9})
     assert (model.row("Q" * 60 + "STRASSE") == 0).sum() < len(language.LANGUAGES)
