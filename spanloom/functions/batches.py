@@ -181,6 +181,56 @@ def labelled(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return lists(rows, LABELLED_TYPE)
 
 
+# ---- tokens put together again
+
+
+OFFSET_TYPE, TYPED_TYPE = _arrow("start:int,end:int"), _arrow("start:int,end:int,entity_type:string")
+
+
+def joined(left: set[str], right: set[str]) -> Callable[[Column], Column]:
+    """A builder of ``struct<text, offsets>`` of token arrays: no blank before tokens of ``left`` or behind those of ``right``."""
+    @F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("offsets", T.ArrayType(_spark("start:int,end:int")))]))
+    def run(tokens: pa.Array) -> pa.Array:
+        texts, offsets = [], []
+        for row in tokens.to_pylist():
+            if row is None or None in row:
+                texts.append(None)
+                offsets.append(None)
+                continue
+            parts, at, size, last = [], [], 0, None
+            for t in row:
+                if size and t not in left and last not in right:
+                    parts.append(" ")
+                    size += 1
+                parts.append(t)
+                at.append((size, size + len(t)))
+                size, last = size + len(t), t
+            texts.append("".join(parts))
+            offsets.append(at)
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), lists(offsets, OFFSET_TYPE)], names=["text", "offsets"])
+
+    return run
+
+
+@F.arrow_udf(T.ArrayType(_spark("start:int,end:int,entity_type:string")))
+def persons(tags: pa.Array, offsets: pa.Array) -> pa.Array:
+    """Runs of a person's tags; one that continues without a start opens a run."""
+    rows: list[list[tuple] | None] = []
+    for ts, os in zip(tags.to_pylist(), offsets.to_pylist()):
+        if ts is None or os is None or len(ts) != len(os):
+            rows.append(None)
+            continue
+        out, going = [], False
+        for t, o in zip(ts, os):
+            if going and t == "I-PER":
+                out[-1] = (out[-1][0], o["end"], "PERSON")
+            elif t in ("B-PER", "I-PER"):
+                out.append((o["start"], o["end"], "PERSON"))
+            going = t in ("B-PER", "I-PER")
+        rows.append(out)
+    return lists(rows, TYPED_TYPE)
+
+
 # ---- predictions of overlapping windows
 
 

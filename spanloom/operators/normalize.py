@@ -7,14 +7,13 @@ it; strict mode raises instead.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import batches
 from ..functions.chars import slice_text, trimmed
-from ..functions.spans import SPAN, adjacent_overlap, empty, in_order, valid_bounds
+from ..functions.spans import adjacent_overlap, in_order, valid_bounds
 from .taxonomy import MASKING_IGNORED, MASKING_LABELS, lookup, normalized_label
 
 ANNOTATION = T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("type", T.StringType())]))
@@ -103,32 +102,13 @@ def masking(df: DataFrame) -> DataFrame:
 
 
 def detokenized(tokens: Column) -> Column:
-    """``struct<text, offsets>`` of a token array, spaced as text is written."""
-    start = F.struct(F.lit("").alias("text"), F.lit("").alias("last"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("offsets"))
-
-    def step(acc: Column, t: Column) -> Column:
-        glued = (acc["text"] == "") | t.isin(*ATTACH_LEFT) | acc["last"].isin(*NO_SPACE_AFTER)
-        text = F.concat(acc["text"], F.when(glued, F.lit("")).otherwise(F.lit(" ")), t)
-        at = F.struct((F.length(text) - F.length(t)).alias("start"), F.length(text).alias("end"))
-        return F.struct(text.alias("text"), t.alias("last"), F.concat(acc["offsets"], F.array(at)).alias("offsets"))
-
-    return F.aggregate(tokens, start, step, lambda acc: F.struct(acc["text"].alias("text"), acc["offsets"].alias("offsets")))
+    """``struct<text, offsets>`` of a token array, spaced as text is written; nulls where the array or a token is null."""
+    return batches.joined(set(ATTACH_LEFT), set(NO_SPACE_AFTER))(tokens)
 
 
 def person_spans(tags: Column, offsets: Column) -> Column:
-    """PERSON spans of ``B-PER``/``I-PER`` runs; an I-PER without a start opens one."""
-    both = F.zip_with(tags, offsets, lambda t, o: F.struct(t.alias("t"), o["start"].alias("a"), o["end"].alias("b")))
-    start = F.struct(F.lit(False).alias("open"), empty(SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        grows = acc["open"] & (x["t"] == "I-PER")
-        last = F.try_element_at(acc["out"], F.lit(-1))
-        one = F.struct(F.when(grows, last.start).otherwise(x["a"]).alias("start"), x["b"].alias("end"), F.lit("PERSON").alias("entity_type"))
-        before = F.when(grows, F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0)))).otherwise(acc["out"])
-        named = x["t"].isin("B-PER", "I-PER")
-        return F.when(named, F.struct(F.lit(True).alias("open"), F.concat(before, F.array(one)).alias("out"))).otherwise(F.struct(F.lit(False).alias("open"), acc["out"].alias("out")))
-
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    """PERSON spans of ``B-PER``/``I-PER`` runs; an I-PER without a start opens one. Null where the lists differ in length."""
+    return batches.persons(tags, offsets)
 
 
 def conll(df: DataFrame) -> DataFrame:
@@ -177,10 +157,6 @@ def load_report(adapted: DataFrame) -> DataFrame:
     return adapted.agg(ok.alias("accepted"), (n - ok).alias("rejected"), n.alias("total"), F.when(n == 0, 0.0).otherwise(ok / F.nullif(n, F.lit(0))).alias("acceptance_rate"))
 
 
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 # ---- chat examples for a generating model
 
 # Fixed value: the instruction the published models were trained with.

@@ -47,9 +47,9 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
-def _annotated(spark: SparkSession, folder: str) -> DataFrame:
+def _annotated(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:
     """Rows of dataset_examples whose spans are usable: in bounds, apart, sorted."""
-    df = table(spark, folder, "dataset_examples").filter("spans is not null and text is not null")
+    df = (table(spark, folder, "dataset_examples") if rows is None else rows).filter("spans is not null and text is not null")
     spans = in_order(bare(F.col("spans")))
     ok = valid_bounds(F.col("spans"), F.length("text")) & ~adjacent_overlap(F.col("spans"))
     return df.filter(ok).withColumn("spans", spans)
@@ -62,14 +62,21 @@ def _windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _predicted(spark: SparkSession, folder: str) -> DataFrame:
-    """Annotated rows with their merged window predictions; a row without windows has none, a span past its text is an error."""
+    """Annotated rows with their merged window predictions.
+
+    A row without windows has none. A prediction of an unknown row, and one that
+    ends past its text, are errors, as they would make scores better.
+    """
     merged = F.transform(merge_windows(F.col("windows")), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.entity_type.alias("entity_type"), s.score.alias("score")))
     windows = _windows(spark, folder)
-    preds = windows.select("row_id", merged.alias("predictions"))
-    rows = metrics.joined(_annotated(spark, folder), preds, "row_id", strict=False)
-    last = windows.select("row_id", F.array_max(F.transform("windows", lambda s: s.end)).alias("_last"))  # before the merge, which could hide it
+    last = F.array_max(F.transform("windows", lambda s: s.end))  # before the merge, which could hide it
+    preds = windows.select("row_id", F.struct(merged.alias("spans"), last.alias("last")).alias("predictions"))
+    rows = table(spark, folder, "dataset_examples").withColumn("_g", F.lit(True)).join(preds, "row_id", "full_outer")
+    unknown = F.raise_error(F.concat(F.lit("predictions for an unknown row "), F.col("row_id").cast("string")))
+    rows = _annotated(spark, folder, rows.filter(F.when(F.col("_g").isNull(), unknown).otherwise(F.lit(True))).drop("_g"))
     error = F.raise_error(F.concat(F.lit("a prediction ends past the text of row "), F.col("row_id").cast("string")))
-    return rows.join(last, "row_id", "left").withColumn("predictions", F.when(F.col("_last") > F.length("text"), error).otherwise(F.col("predictions"))).drop("_last")
+    none = F.expr("cast(array() as array<struct<start:int,end:int,entity_type:string,score:double>>)")
+    return rows.withColumn("predictions", F.when(F.col("predictions.last") > F.length("text"), error).otherwise(F.coalesce("predictions.spans", none)))
 
 
 def _lineitem(spark: SparkSession, folder: str, query: str) -> DataFrame:
@@ -194,7 +201,7 @@ def fragment_merge(spark, folder):
                    named_struct('start', x.start + locate(' ', substring(text, x.start + 1, x.end - x.start)), 'end', x.end, 'entity_type', x.entity_type, 'score', 1.0D))
         ELSE array(named_struct('start', x.start, 'end', x.end, 'entity_type', x.entity_type, 'score', 0.75D)) END))""")
     rows = _annotated(spark, folder).withColumn("parts", parts).select("row_id", "text", F.explode_outer(merge_fragments(F.col("text"), F.col("parts"), {"PERSON"})).alias("s")).filter("s is not null")
-    return rows.groupBy("row_id").agg(F.count(F.lit(1)).alias("spans"), F.sum(F.expr("s.end - s.start").cast("long")).alias("characters"))
+    return rows.select("row_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.entity_type").alias("entity_type"), F.col("s.score").alias("score"))
 
 
 # ---- metrics
@@ -316,6 +323,16 @@ def profile_scores(spark, folder):
     return out
 
 
+@_query
+def anchor_scores(spark, folder):
+    """Scores with one anchor threshold for every type."""
+    rows, out = _recipe(spark, folder), None
+    for mode, start in sorted(calibrate.ANCHORS.items()):
+        one = calibrate.score_profile(rows, {t: start for t in "ANR"}).select(F.lit(mode).alias("mode"), "predicted", "exact_f1", "leak_rate", "over_redaction_rate")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _search(mode: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         profile, _ = calibrate.optimize_profile(_recipe(spark, folder), ["A", "N", "R"], calibrate.threshold_grid(), calibrate.ANCHORS[mode], mode)
@@ -443,16 +460,126 @@ def bio_lenient(spark, folder):
     rows = _annotated(spark, folder).withColumn("w", bio.words_and_bio(F.col("text"), F.col("spans")))
     offsets = F.transform("w", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     labels = F.transform("w", lambda x: F.replace(x["label"], F.lit("B-"), F.lit("I-")))
-    found = bio.token_spans(offsets, labels, F.transform("w", lambda x: F.lit(0.5)))
-    rows = rows.select(F.explode_outer(found).alias("s")).filter("s is not null")
-    return rows.groupBy(F.col("s.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("spans"), F.sum(F.expr("s.end - s.start").cast("long")).alias("characters"))
+    found = bio.token_spans(offsets, labels, F.transform("w", lambda x: (x["end"] - x["start"]) / F.lit(64.0)))  # any score will do that differs
+    rows = rows.select("row_id", F.explode_outer(found).alias("s")).filter("s is not null")
+    return rows.select("row_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.entity_type").alias("entity_type"), F.round("s.score", 9).alias("score"))
 
 
 @_query
-def label_ids(spark, folder):
+def label_mapping(spark, folder):
     return bio.label_mapping(table(spark, folder, "dataset_examples").filter("spans is not null"))
 
 
+LABEL_IDS = {"O": 0} | {f"{p}-{t}": 2 * i + k for i, t in enumerate(taxonomy.TYPES, 1) for k, p in ((-1, "B"), (0, "I"))}
+
+
+@_query
+def label_ids(spark, folder):
+    """Words of annotated texts by the id of their label; a blank-separated word of one letter has none."""
+    rows = _annotated(spark, folder).select(bio.words_and_bio(F.col("text"), F.col("spans")).alias("w"))
+    labels = F.transform("w", lambda x: F.when(F.length(x["word"]) > 1, x["label"]))
+    return rows.select(F.explode(bio.label_ids(labels, LABEL_IDS)).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("words"))
+
+
+def _pieces(step: int) -> Callable[[list[str]], tuple]:
+    """A tokenizer of ``step`` letters a token, twenty tokens a word at most, with a special token at either end."""
+    def tokenize(words):
+        ids, of, local = [1], [None], [(0, 0)]
+        for i, w in enumerate(words):
+            n = max(step, -(-len(w) // 20))
+            for k in range(0, len(w), n):
+                ids.append(4 * ord(w[k]) + 2 * any(c.isdigit() and c.isascii() for c in w) + (k > 0))
+                of.append(i)
+                local.append((k, min(k + n, len(w))))
+        return [*ids, 2], [*of, None], [*local, (0, 0)]
+
+    return tokenize
+
+
+@_query
+def bio_aligned(spark, folder):
+    """Labels on tokens of four letters, the first of each word only, decoded again."""
+    words = bio.words_and_bio(F.col("text"), F.col("spans"))
+    rows = _annotated(spark, folder).select("row_id", words.alias("w"))
+    cut = F.transform("w", lambda w, i: F.transform(F.sequence(F.lit(0), F.floor((w["end"] - w["start"] - 1) / 4).cast("int")), lambda k: F.struct(
+        (w["start"] + 4 * k).alias("start"), F.least(w["start"] + 4 * k + 4, w["end"]).alias("end"), i.alias("word_id"), F.when(k == 0, w["label"]).alias("label"))))
+    found = rows.select("row_id", bio.aligned_spans(F.flatten(cut))["spans"].alias("found"))
+    return _exploded(found, "row_id", "found")
+
+
+@_query
+def projected_offsets(spark, folder):
+    """Offsets of tokens of four letters moved from their words to the text."""
+    rows = table(spark, folder, "examples").select("id", bio.text_words(F.col("text")).alias("w"))
+    parts = F.flatten(F.transform("w", lambda w, i: F.transform(F.sequence(F.lit(0), F.floor((F.length(w["word"]) - 1) / 4).cast("int")), lambda k: F.struct(i.alias("i"), (4 * k).alias("a"), F.least(4 * k + 4, F.length(w["word"])).alias("b")))))
+    rows = rows.select("id", "w", parts.alias("p"))
+    moved = bio.global_offsets(F.col("w"), F.transform("p", lambda p: p["i"]), F.transform("p", lambda p: F.struct(p["a"].alias("start"), p["b"].alias("end"))))
+    return rows.select("id", F.explode(moved).alias("o")).select("id", F.col("o.start").alias("token_start"), F.col("o.end").alias("token_end"))
+
+
+@_query
+def encoder_windows(spark, folder):
+    """A model that labels words with a digit, run over windows of 96 tokens with an overlap of 32."""
+    def load():
+        return bio.TokenModel(_pieces(8), lambda ids: [("O" if i < 3 or not i & 2 else "I-CODE" if i & 1 else "B-CODE", 1.0) for i in ids])
+
+    rows = _docs(spark, folder).select("doc_id", detect.detector("windows", load=load, max_length=96, overlap=32)(F.col("text")).alias("s"))
+    return _exploded(rows, "doc_id", "s")
+
+
+@_query
+def training_windows(spark, folder):
+    """Annotated texts in windows of 128 tokens that overlap by 16; a word has twenty tokens at most."""
+    rows = bio.window_examples(_annotated(spark, folder), lambda: _pieces(4), 128, 16, key="row_id")
+    return rows.select("example_id", "window", "text", F.size("spans").alias("n_spans"))
+
+
+def _fours(words):
+    """Tokens of four letters, however long the word."""
+    at = [(i, k) for i, w in enumerate(words) for k in range(0, len(w), 4)]
+    return [1, *(ord(words[i][k]) for i, k in at), 2], [None, *(i for i, _ in at), None], [(0, 0), *((k, min(k + 4, len(words[i]))) for i, k in at), (0, 0)]
+
+
+@_query
+def encoder_records(spark, folder):
+    """Model-ready arrays of annotated texts of up to 256 tokens, measured; longer ones are errors."""
+    rows = bio.encoder_records(_annotated(spark, folder), lambda: _fours, LABEL_IDS, max_length=256, key="row_id")
+    return rows.select("example_id", F.size("input_ids").alias("tokens"), F.size(F.filter("labels", lambda x: x > 0)).alias("labelled"), F.size(F.filter("labels", lambda x: x == bio.IGNORE)).alias("ignored"), F.col("error").isNotNull().alias("failed"))
+
+
+def _chats(spark: SparkSession, folder: str) -> DataFrame:
+    """Chats of annotated texts with a token per character and room for 1,500."""
+    def load():
+        return lambda text: (list(map(ord, text)), [(i, i + 1) for i in range(len(text))])
+
+    def render(messages, prompt):
+        return "".join(f"<{m['role']}>{m['content']}" for m in messages) + "<assistant>" * prompt
+
+    rows = _annotated(spark, folder).withColumn("messages", normalize.chat_messages(F.col("text"), F.col("spans")))
+    return bio.chat_records(rows, load, render, 1500, key="row_id")
+
+
+@_query
+def chat_records(spark, folder):
+    return _chats(spark, folder).select("example_id", F.size("input_ids").alias("tokens"), F.size(F.filter("labels", lambda x: x != bio.IGNORE)).alias("trained"), F.col("error").isNotNull().alias("failed"))
+
+
+@_query
+def chat_overflow(spark, folder):
+    return bio.overflow_report(_chats(spark, folder))
+
+
+@_query
+def collated(spark, folder):
+    """Arrays of the lengths of each example's words, padded by source."""
+    n = F.transform(bio.text_words(F.col("text")), lambda w: F.length(w["word"]))
+    rows = table(spark, folder, "dataset_examples").select("row_id", "source", n.alias("input_ids")).filter("size(input_ids) > 0")
+    rows = rows.withColumns({"attention_mask": F.transform("input_ids", lambda _: F.lit(1)), "labels": F.col("input_ids")})
+    out = bio.collate(rows, "source", 0)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("row_id", F.size("input_ids").alias("n"), total("input_ids").alias("ids"), total("attention_mask").alias("mask"), total("labels").alias("labels"))
+
+
 @_query
 def located_words(spark, folder):
     words = F.transform(bio.text_words(F.col("text")), lambda w: w["word"])
@@ -468,7 +595,7 @@ def chat_targets(spark, folder):
 @_query
 def chat_messages(spark, folder):
     rows = _annotated(spark, folder).select("row_id", F.explode_outer(normalize.chat_messages(F.col("text"), F.col("spans"))).alias("m")).filter("m is not null")
-    return rows.select("row_id", F.col("m.role").alias("role"), F.length("m.content").alias("n"))
+    return rows.select("row_id", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 
 @_query
@@ -479,13 +606,87 @@ def parsed_outputs(spark, folder):
     return rows.select("row_id", F.when(F.col("r.error").isNull(), F.size("r.spans")).alias("n_spans"), F.col("r.error").isNull().alias("ok"))
 
 
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of all annotated rows, bad ones included, written as a JSON list and read leniently."""
+    rows = table(spark, folder, "dataset_examples").filter("spans is not null and text is not null")
+    rows = rows.select("row_id", "text", F.to_json(F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.entity_type.alias("entity_type"), F.lit(0.5).alias("score")))).alias("output"))
+    return detect.parse_list_output(rows, "text", "output")
+
+
+@_query
+def list_outputs(spark, folder):
+    return _listed(spark, folder).select("row_id", F.size("spans").alias("n_spans"), F.col("error").isNull().alias("ok"))
+
+
+@_query
+def output_failures(spark, folder):
+    return detect.failure_rate(_listed(spark, folder))
+
+
+@_query
+def cached_predictions(spark, folder):
+    """A model that marks every @, run once per distinct text."""
+    def load():
+        return lambda text: [(i, i + 1, "AT", 1.0) for i, c in enumerate(text) if c == "@"]
+
+    rows = detect.cached_predictions(_docs(spark, folder).select("doc_id", "text"), "text", load)
+    return _exploded(rows.filter("text is not null"), "doc_id", "predictions")
+
+
+# ---- adapters of published corpora, fed with records made of annotated rows
+
+
+def _records(spark: SparkSession, folder: str, kind) -> DataFrame:
+    """``text, row_id, language, mask`` with labels by ``kind`` and the values that the offsets give."""
+    rows = table(spark, folder, "dataset_examples").filter("spans is not null and text is not null")
+    value = lambda s: F.substring("text", s.start + 1, s.end - s.start)
+    mask = F.transform("spans", lambda s: F.struct(value(s).alias("value"), s.start.alias("start"), s.end.alias("end"), kind(s.entity_type).alias("label")))
+    return rows.select("text", "row_id", "language", mask.alias("mask"))
+
+
+def _adapted(df: DataFrame) -> DataFrame:
+    total = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s.end - s.start).cast("long"))
+    return df.select("example_id", F.size("spans").alias("n_spans"), total.alias("characters"), F.col("error").isNull().alias("ok"))
+
+
+@_query
+def adapter_openpii(spark, folder):
+    return _adapted(normalize.openpii(_records(spark, folder, lambda t: t).selectExpr("text as source_text", "row_id as uid", "language", "mask as privacy_mask")))
+
+
+@_query
+def adapter_gretel(spark, folder):
+    return _adapted(normalize.gretel(_records(spark, folder, lambda t: t).selectExpr("text as generated_text", "row_id as `index`", "language", "to_json(mask) as pii_spans")))
+
+
+def masking_label(kind: str) -> str:
+    """A label of the masking corpus for a shared type; an ignored one where it has none."""
+    return min((k for k, v in taxonomy.MASKING_LABELS.items() if v == kind), default=min(taxonomy.MASKING_IGNORED))
+
+
+@_query
+def adapter_masking(spark, folder):
+    named = lambda t: taxonomy.lookup({k: masking_label(k) for k in taxonomy.TYPES}, t)
+    return _adapted(normalize.masking(_records(spark, folder, named).selectExpr("row_id as id", "language", "text as source_text", "mask as privacy_mask")))
+
+
+@_query
+def adapter_conll(spark, folder):
+    """Words of annotated texts with PERSON tags, put together again as text is written."""
+    words = bio.words_and_bio(F.col("text"), F.col("spans"))
+    rows = _annotated(spark, folder).select(F.col("row_id").alias("id"), words.alias("w"))
+    tag = lambda x: F.when(x["label"] == "B-PERSON", "B-PER").when(x["label"] == "I-PERSON", "I-PER").otherwise("O")
+    made, _ = normalize.route(normalize.conll(rows.select("id", F.transform("w", lambda x: x["word"]).alias("tokens"), F.transform("w", tag).alias("ner_tags"))))
+    return made.select("example_id", F.length("text").alias("n"), F.explode_outer("spans").alias("s")).select("example_id", "n", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
+
+
 # ---- sources
 
 
 @_query
 def example_lines_parsed(spark, folder):
     rows = table(spark, folder, "example_lines").select("line_id", *jsonl.parse_example(F.col("line")))
-    return rows.select("line_id", "example_id", F.length("text").alias("n"), "source", "language")
+    return rows.select("line_id", "example_id", F.length("text").alias("n"), "source", "language", F.size("spans").alias("n_spans"), F.col("error").isNull().alias("ok"))
 
 
 @_query

@@ -152,11 +152,6 @@ def read_report(path: str) -> dict:
     return data
 
 
-def report_of(one_row: DataFrame) -> dict:
-    """A one-row frame as a dictionary for a report."""
-    return one_row.first().asDict(recursive=True)
-
-
 def markdown_table(rows: list[dict], columns: list[str]) -> str:
     """Reports side by side; numbers with four places, missing ones as a dash."""
     def cell(v) -> str:
