@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.chars import characters, normalized, slice_text
 from ..functions.ratios import ratio
 from ..functions.spans import bare, let
+from ..plans.skew import attach
 from .metrics import dataset_score, document_measures
 
 
@@ -72,17 +73,32 @@ def robustness(df: DataFrame, detect: Callable[[Column], Column], families: list
     return b.join(a, "family").select("*", *((F.col(f"{n}_after") - F.col(f"{n}_before")).alias(f"{n}_delta") for n in names))
 
 
-def _seen(df: DataFrame, key: Column, part: str, train: str) -> DataFrame:
-    return df.filter(F.col(part) == train).select(key.alias("_key")).distinct()
+def _signs(c: Column) -> list[Column]:
+    """A text as 128 bits; texts themselves don't travel."""
+    return [F.xxhash64(F.lit(k), c).alias(f"k{k}") for k in (1, 2)]
+
+
+def _seen(rows: DataFrame, train: str, *by: str) -> DataFrame:
+    """Keys that training holds, once each; ``rows`` has ``part`` and the keys."""
+    return rows.filter(F.col("part") == train).select(*by).distinct().withColumn("_hit", F.lit(1))
+
+
+def _met(rows: DataFrame, train: str, *by: str) -> DataFrame:
+    """Rows of other parts counted by part and key, with ``_hit`` where training holds the key.
+
+    They are counted before they are joined, so a hot key is one row per part.
+    """
+    counted = rows.filter(F.col("part") != train).groupBy("part", *by).agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(_seen(rows, train, *by), list(by), "left")
 
 
 def duplicate_stats(df: DataFrame, part: str = "split", text: str = "text", train: str = "train", folded: bool = False) -> DataFrame:
-    """``part, target_examples, matching_examples, rate``: texts of other parts that training holds, as stored or normalised."""
-    key = normalized(F.col(text)) if folded else F.col(text)
-    seen = _seen(df, key, part, train).withColumn("_hit", F.lit(1))
-    rows = df.filter(F.col(part) != train).select(F.col(part).alias("part"), key.alias("_key")).join(seen, "_key", "left")
-    sums = rows.groupBy("part").agg(F.count(F.lit(1)).alias("target_examples"), F.count("_hit").alias("matching_examples"))
-    return sums.withColumn("rate", ratio(F.col("matching_examples"), F.col("target_examples")))
+    """``part, target_examples, matching_examples, rate``: texts of other parts that training holds, as stored or normalised. Null texts match nothing."""
+    c = normalized(F.col(text)) if folded else F.col(text)
+    rows = df.select(F.col(part).alias("part"), c.isNull().alias("_none"), *_signs(c))
+    met = _met(rows, train, "_none", "k1", "k2")
+    hits = F.sum(F.when(F.col("_hit").isNotNull() & ~F.col("_none"), F.col("n")).otherwise(0))
+    return met.groupBy("part").agg(F.sum("n").alias("target_examples"), hits.alias("matching_examples")).withColumn("rate", ratio(F.col("matching_examples"), F.col("target_examples")))
 
 
 def duplicate_samples(df: DataFrame, key: str, part: str = "split", text: str = "text", train: str = "train", k: int = 25, folded: bool = False) -> DataFrame:
@@ -90,15 +106,17 @@ def duplicate_samples(df: DataFrame, key: str, part: str = "split", text: str =
     from pyspark.sql.window import Window
 
     c = normalized(F.col(text)) if folded else F.col(text)
-    rows = df.filter(F.col(part) != train).withColumn("_key", c).join(_seen(df, c, part, train), "_key", "left_semi")
-    return rows.select(F.col(part).alias("part"), key, F.row_number().over(Window.partitionBy(part).orderBy(key)).alias("rank")).filter(F.col("rank") <= k)
+    rows = df.filter(c.isNotNull()).select(F.col(part).alias("part"), F.col(key), *_signs(c))
+    other = rows.filter(F.col("part") != train)
+    held = _met(rows, train, "k1", "k2").filter("_hit is not null").groupBy("k1", "k2").agg(F.sum("n").alias("copies"))
+    met = attach(other, held, ["k1", "k2"], other.count())
+    return met.select("part", key, F.row_number().over(Window.partitionBy("part").orderBy(key)).alias("rank")).filter(F.col("rank") <= k)
 
 
 def value_overlap(df: DataFrame, part: str = "split", text: str = "text", spans: str = "spans", train: str = "train") -> DataFrame:
     """``part, entity_type, gold_spans, seen_in_train, rate`` of normalised span values."""
     rows = df.select(F.col(part).alias("part"), F.col(text).alias("_t"), F.explode_outer(spans).alias("s")).filter("s is not null")
-    rows = rows.select("part", F.col("s.entity_type").alias("entity_type"), normalized(slice_text(F.col("_t"), F.col("s.start"), F.col("s.end"))).alias("value"))
-    seen = rows.filter(F.col("part") == train).select("entity_type", "value").distinct().withColumn("_hit", F.lit(1))
-    met = rows.filter(F.col("part") != train).join(seen, ["entity_type", "value"], "left")
-    sums = met.groupBy("part", "entity_type").agg(F.count(F.lit(1)).alias("gold_spans"), F.count("_hit").alias("seen_in_train"))
+    rows = rows.select("part", F.col("s.entity_type").alias("entity_type"), *_signs(normalized(slice_text(F.col("_t"), F.col("s.start"), F.col("s.end")))))
+    met = _met(rows, train, "entity_type", "k1", "k2")
+    sums = met.groupBy("part", "entity_type").agg(F.sum("n").alias("gold_spans"), F.sum(F.when(F.col("_hit").isNotNull(), F.col("n")).otherwise(0)).alias("seen_in_train"))
     return sums.withColumn("rate", ratio(F.col("seen_in_train"), F.col("gold_spans")))

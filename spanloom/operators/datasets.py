@@ -6,9 +6,10 @@ import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.ratios import ratio
+from ..plans.ranks import at_ranks, by_hash
+from ..plans.written import written
 
 
 def statistics(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
@@ -63,23 +64,30 @@ def _order(key: str, seed: int) -> Column:
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows with their ``place``, by the hash order of their key; unique keys give the same rows in any partitioning."""
+    """``n`` rows with their ``place``, by the hash order of their key; unique keys give the same rows in any partitioning.
+
+    Rows are ranked within parts of the hash range, so ``n`` may be a share of the table.
+    """
+    _whole(n, "n")
+    return by_hash(df, key, _order(key, seed), n)
+
+
+def first_rows(df: DataFrame, ordinal: str, n: int) -> DataFrame:
+    """The first ``n`` rows by a unique ordinal, in order; ``n`` bounds what any task keeps."""
     _whole(n, "n")
-    picked = df.withColumn("_h", _order(key, seed)).orderBy("_h", key).limit(n)
-    return picked.withColumn("place", F.row_number().over(Window.orderBy("_h", key)).cast("long")).drop("_h")  # n rows
+    return df.orderBy(ordinal).limit(n)
 
 
 def split(df: DataFrame, key: str, validation: int, test: int, seed: int = 42) -> DataFrame:
     """``df`` with ``part``: exactly ``test`` rows test, the next ``validation`` validation, the rest train.
 
     Rows go by the hash order of their unique key. Only the keys of held-out rows
-    are ranked and joined back.
+    are ranked, within parts of the hash range, and joined back.
     """
     _whole(validation, "validation")
     _whole(test, "test")
-    held = df.select(key, _order(key, seed).alias("_h")).orderBy("_h", key).limit(test + validation)
-    rank = F.row_number().over(Window.orderBy("_h", key))
-    named = held.select(F.col(key).alias("_k"), F.when(rank <= test, "test").otherwise("validation").alias("_p"))
+    held = by_hash(df.select(key), key, _order(key, seed), test + validation)
+    named = held.select(F.col(key).alias("_k"), F.when(F.col("place") <= test, "test").otherwise("validation").alias("_p"))
     return df.join(named, F.col(key) == F.col("_k"), "left").withColumn("part", F.coalesce("_p", F.lit("train"))).drop("_k", "_p")
 
 
@@ -115,16 +123,15 @@ def split_places(df: DataFrame, ordinal: str, validation: int, test: int, seed:
 
 
 def percentiles(df: DataFrame, value: str, fractions: list[float]) -> DataFrame:
-    """``fraction, value`` by nearest rank at ``round((n - 1) f)``, halves to even.
+    """``fraction, value`` by nearest rank at ``round((n - 1) f)``, halves to even; numbers only, nulls left out.
 
-    Exact without one sorted list: values are counted, and ranks are running
-    counts over distinct values.
+    Exact without one sorted list: values are counted, and only those near a
+    wanted rank, between two approximate quantiles, are put in order.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.select("v", F.sum("n").over(Window.orderBy("v")).alias("hi"), "n", F.sum("n").over(Window.partitionBy()).alias("total"))
-    each = upto.withColumn("fraction", F.explode(F.array(*(F.lit(float(f)) for f in fractions))))
-    at = F.bround((F.col("total") - 1) * F.col("fraction"), 0)
-    return each.filter((at >= F.col("hi") - F.col("n")) & (at < F.col("hi"))).select("fraction", F.col("v").alias("value"))
+    counts = written(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")), "value-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    edges = counts.approxQuantile("v", [i / 256 for i in range(1, 256)], 0.001) if total else []
+    return at_ranks(counts, [(float(f), float(round((total - 1) * f))) for f in fractions] if total else [], sorted(set(edges)))
 
 
 def over_limits(df: DataFrame, value: str, limits: list[int]) -> DataFrame:

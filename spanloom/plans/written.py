@@ -67,6 +67,21 @@ def part_rows(path: str, by: str, value: int, columns: list[str]) -> pa.Table:
     return pq.read_table(f"{at}/{by}={value}", columns=columns, filesystem=system, partitioning=None)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on the file system that ``path`` names, whichever that is."""
+    where, system = _path(spark, path)
+    out = system.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file written by :func:`write_text` or anyone else."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     where, system = _path(spark, path)
     system.delete(where, True)

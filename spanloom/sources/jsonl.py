@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.chars import trimmed
 from ..functions.spans import in_order
 from ..operators.normalize import example_error, first_error
+from ..plans.written import read_text, write_text, written
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("entity_type", T.StringType())]))
 EXAMPLE = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("spans", SPANS), T.StructField("source", T.StringType()), T.StructField("language", T.StringType())])
@@ -44,21 +47,27 @@ def parse_example(line: Column, blank: str = "error") -> list[Column]:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file and number. The number is that of the line in its file, from 1."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("i", "line"), F.size(F.split("value", r"\r\n|\n|\r")).alias("n"))
-    return whole.filter(~((F.col("i") == F.col("n") - 1) & (F.col("line") == ""))).select("file", (F.col("i") + 1).alias("line_no"), "line")
+    """``file, line_no, line`` of text files of any size; numbers count from 1 in each file.
+
+    A file is read in blocks by several tasks. A line's number is its place in its
+    block and the lines of the blocks before it, which are counted first.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("line"))
+    blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))  # a row a block
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return raw.join(blocks.select("file", "block", "first", before.alias("before")), ["file", "block"]).select("file", (F.col("before") + F.col("i") - F.col("first") + 1).alias("line_no"), "line")
 
 
 def read_examples(spark: SparkSession, path: str, numbered: bool = True, skip_blank: bool = False) -> DataFrame:
     """``file, line_no, example_id, text, spans, source, language, error`` of JSON lines.
 
-    Line numbers need a file read as one value; ``numbered=False`` reads splittable
-    text instead, for files of any size. A blank line is an error unless skipped.
+    Line numbers cost one more pass that counts lines; ``numbered=False`` leaves
+    them null. A blank line is an error unless skipped.
     """
     if numbered:
         raw = _lines(spark, path)
     else:
-        raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.lit(None).cast("int").alias("line_no"), F.col("value").alias("line"))
+        raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.lit(None).cast("long").alias("line_no"), F.col("value").alias("line"))
     if skip_blank:
         raw = raw.filter(trimmed(F.col("line")) != "")
     return raw.select("file", "line_no", *parse_example(F.col("line")))
@@ -71,29 +80,29 @@ def require_valid(examples: DataFrame) -> DataFrame:
 
 
 def write_examples(df: DataFrame, path: str) -> int:
-    """Writes a folder of JSON lines and returns the number of examples."""
-    c = F.col
-    df.select(example_json(c("example_id"), c("text"), c("spans"), c("source"), c("language")).alias("value")).write.mode("overwrite").text(path)
-    return df.sparkSession.read.text(path).count()
+    """Writes a folder of JSON lines and returns the number of examples, which are counted as they are written."""
+    c, seen = F.col, Observation("written")
+    lines = df.select(example_json(c("example_id"), c("text"), c("spans"), c("source"), c("language")).alias("value"))
+    lines.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(path)
+    return seen.get["n"]
 
 
 def read_hand_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """``id, text, spans<start,end,label>`` of JSON lines; blank lines are skipped."""
+    """``id, text, spans<start,end,label>`` of JSON lines; blank lines are skipped, a bad one fails with its file and number."""
     schema = "id string, text string, spans array<struct<start:int,end:int,label:string>>"
-    raw = spark.read.text(path).filter(trimmed(F.col("value")) != "")
-    parsed = F.from_json("value", schema)
-    bad = F.try_parse_json("value").isNull()
-    return raw.filter(F.when(bad, F.raise_error(F.lit("invalid JSON line"))).otherwise(F.lit(True))).select(parsed.alias("r")).select("r.*")
+    raw = _lines(spark, path).filter(trimmed(F.col("line")) != "")
+    kind = F.schema_of_variant(F.try_parse_json("line"))
+    where = F.concat("file", F.lit(":"), F.col("line_no").cast("string"), F.lit(": not a JSON object"))
+    good = F.when(F.coalesce(kind.startswith("OBJECT<"), F.lit(False)), F.lit(True)).otherwise(F.raise_error(where))
+    return raw.filter(good).select(F.from_json("line", schema).alias("r")).select("r.*")
 
 
 def save_split(df: DataFrame, folder: str, source: str, seed: int, part: str = "part") -> dict:
-    """JSON lines by part, and a manifest with counts."""
-    counts = {r[0]: r[1] for r in df.groupBy(part).agg(F.count(F.lit(1))).collect()}  # three parts
-    if unknown := set(counts) - set(PARTS):
-        raise ValueError(f"unknown parts {sorted(unknown)}")
-    for p in PARTS:
-        write_examples(df.filter(F.col(part) == p), f"{folder}/{p}.jsonl")
-    splits = {p: counts.get(p, 0) for p in PARTS}
+    """JSON lines by part, and a manifest with counts. Rows are worked out once."""
+    rows = written(df.select("example_id", "text", "spans", "source", "language", F.col(part).alias("_part")), "split-rows")
+    if unknown := {r[0] for r in rows.select("_part").distinct().collect()} - set(PARTS):  # three parts, if all is well
+        raise ValueError(f"unknown parts {sorted(map(str, unknown))}")
+    splits = {p: write_examples(rows.filter(F.col("_part") == p), f"{folder}/{p}.jsonl") for p in PARTS}
     manifest = {"format_version": FORMAT, "source": source, "seed": seed, "splits": splits, "total_count": sum(splits.values())}
     write_report(manifest, f"{folder}/manifest.json")
     return manifest
@@ -138,15 +147,20 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(report: dict, path: str) -> None:
-    """A small JSON report, indented, with sorted keys."""
-    p = Path(path)
-    p.parent.mkdir(parents=True, exist_ok=True)
-    p.write_text(json.dumps(report, ensure_ascii=False, indent=2, sort_keys=True) + "\n", "utf-8")
+    """A small JSON report, indented, with sorted keys, on the file system that ``path`` names."""
+    text = json.dumps(report, ensure_ascii=False, indent=2, sort_keys=True) + "\n"
+    if spark := SparkSession.getActiveSession():
+        write_text(spark, path, text)
+    else:
+        p = Path(path)
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text, "utf-8")
 
 
 def read_report(path: str) -> dict:
     """A JSON report, which must be an object."""
-    data = json.loads(Path(path).read_text("utf-8"))
+    spark = SparkSession.getActiveSession()
+    data = json.loads(read_text(spark, path) if spark else Path(path).read_text("utf-8"))
     if not isinstance(data, dict):
         raise ValueError("a report must be a JSON object")
     return data
@@ -180,16 +194,38 @@ def read_records(spark: SparkSession, path: str, kind: str = "parquet", schema:
 
 
 def read_settings(path: str) -> dict:
-    """Flat ``key: value`` settings, or JSON; for the driver only."""
+    """Settings as JSON, or as ``key: value`` lines nested by indentation, with ``- item`` lists of scalars; for the driver only."""
     text = Path(path).read_text("utf-8")
     if text.lstrip().startswith("{"):
         return json.loads(text)
-    out = {}
+    top: dict = {}
+    path_: list[tuple[int, dict, str]] = [(-1, {"": top}, "")]  # indentation, holder, key whose value is open
     for line in text.splitlines():
-        k, sep, v = line.split("#")[0].partition(":")
-        if sep and v.strip():
-            try:
-                out[k.strip()] = json.loads(v.strip())
-            except json.JSONDecodeError:
-                out[k.strip()] = v.strip().strip("'\"")
-    return out
+        bare = re.sub(r"(^|\s)#.*", "", line).rstrip()
+        if not bare.strip():
+            continue
+        depth, item = len(bare) - len(bare.lstrip()), bare.strip()
+        while len(path_) > 1 and (path_[-1][0] > depth or path_[-1][0] == depth and not item.startswith("- ")):
+            path_.pop()
+        _, holder, key = path_[-1]
+        if item.startswith("- "):
+            if not isinstance(holder[key], list):
+                holder[key] = []
+            holder[key].append(_scalar(item[2:].strip()))
+            continue
+        if not isinstance(holder[key], dict):
+            holder[key] = {}
+        name, sep, value = item.partition(":")
+        if not sep:
+            raise ValueError(f"no setting: {item!r}")
+        holder[key][name.strip()] = _scalar(value.strip()) if value.strip() else None
+        if not value.strip():
+            path_.append((depth, holder[key], name.strip()))
+    return top
+
+
+def _scalar(text: str):
+    try:
+        return json.loads(text)
+    except json.JSONDecodeError:
+        return {"true": True, "false": False, "null": None, "~": None}.get(text.lower(), text.strip("'\""))
