@@ -268,11 +268,11 @@ def _bounds(text: str | None, stretches: list[tuple[str, float, int]]) -> list[t
     return list(zip(cuts, [*cuts[1:], len(text)]))
 
 
-def languages(df: DataFrame, model: Model, row_id: str = "row_id", text: str = "text", label: str | None = "language") -> DataFrame:
+def languages(df: DataFrame, model: Model, row_id: str = "row_id", text: str = "text", label: str | None = "language", places: bool = True) -> DataFrame:
     """``row_id, code, segments``: the label's code and the stretches of each text in order.
 
     A stretch has its language, a confidence, its number of words and its place
-    in code points; stretches cover the text. Null, empty and wordless texts have
+    in code points, null unless ``places``; stretches cover the text. Null, empty and wordless texts have
     no segment. Work is per row.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
@@ -283,7 +283,7 @@ def languages(df: DataFrame, model: Model, row_id: str = "row_id", text: str = "
         for b in batches:
             texts = b.column(2).to_pylist()
             found = [x for k in range(0, len(texts), 1000) for x in m.stretches_of(texts[k : k + 1000])]
-            segs = [[{"seg_no": i, "language": k, "confidence": c, "words": n, "start": x, "end": y} for i, ((k, c, n), (x, y)) in enumerate(zip(s, _bounds(t, s)), 1)] for t, s in zip(texts, found)]
+            segs = [[{"seg_no": i, "language": k, "confidence": c, "words": n, "start": x, "end": y} for i, ((k, c, n), (x, y)) in enumerate(zip(s, _bounds(t, s) if places else [(None, None)] * len(s)), 1)] for t, s in zip(texts, found)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(segs, kind)], ["row_id", "code", "segments"])
 
     src = df.select(F.col(row_id).cast("long").alias("row_id"), (code_of(F.col(label)) if label else F.lit(None).cast("string")).alias("code"), F.col(text).cast("string").alias("_t"))
@@ -292,7 +292,7 @@ def languages(df: DataFrame, model: Model, row_id: str = "row_id", text: str = "
 
 def language_cases(df: DataFrame, model: Model | None = None) -> DataFrame:
     """``row_id, seg_no, language`` of rows whose label is missing, a placeholder or not the text's language, and of mixed rows."""
-    found = languages(df, model or fit(df))
+    found = languages(df, model or fit(df), places=False)
     wrong = F.col("code").isNull() | (F.size("segments") > 1) | (F.col("segments")[0]["language"] != F.col("code"))
     rows = found.filter("size(segments) > 0").filter(wrong).select("row_id", F.explode("segments").alias("s"))
     return rows.select("row_id", F.col("s.seg_no").alias("seg_no").cast("long"), F.col("s.language").alias("language"))
