@@ -82,6 +82,7 @@ def encoder(folder: str = FOLDER, model: str = MODEL) -> Encoder:
 # ---- problem 8
 
 MASK = np.uint64(127)  # a cut after one position in 128 on average
+_APART = bytes(8)  # between texts, as long as the rolling hash looks back
 
 
 def _cuts(data: np.ndarray) -> np.ndarray:
@@ -178,14 +179,12 @@ def encode_batch(texts: pa.Array, enc: ChunkEncoder) -> pa.Array:
     """Id lists of a string array; null and empty texts give empty lists."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     raws = [t.encode() if t else b"" for t in texts.to_pylist()]
-    joined = b"".join(raws)
-    ends = np.cumsum([len(r) for r in raws]) if raws else np.zeros(0, np.int64)
+    joined = b"".join([x for r in raws for x in (_APART, r)])  # no hash reaches into the text before
+    ends = np.cumsum([len(r) + len(_APART) for r in raws]) if raws else np.zeros(0, np.int64)
     cuts = _cuts(np.frombuffer(joined, np.uint8)) if joined else np.zeros(0, np.int64)
-    which = np.searchsorted(cuts, np.concatenate([[0], ends]))
-    out, start = [], 0
-    for i, r in enumerate(raws):
-        out.append(enc.encode(r, (cuts[which[i] : which[i + 1]] - start).tolist()) if r else b"")
-        start = int(ends[i])
+    starts = ends - [len(r) for r in raws] if raws else ends
+    low, high = np.searchsorted(cuts, starts), np.searchsorted(cuts, ends)
+    out = [enc.encode(r, (cuts[low[i] : high[i]] - starts[i]).tolist()) if r else b"" for i, r in enumerate(raws)]
     offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(out), np.int32), pa.int32()))
 
