@@ -14,6 +14,15 @@ from ..functions.ratios import prf, ratio
 from ..functions.spans import bare, covered, error_kind, exact_hits, false_positives, leaked, over_redacted, partial_hits, valid_bounds
 
 
+def required(found: Column, message: Column) -> Column:
+    """A filter that raises where ``found`` is null.
+
+    It counts as non-deterministic, or else the optimizer would let a later filter
+    on the missing side turn the outer join into one without those rows.
+    """
+    return F.when(found.isNull(), F.raise_error(message)).otherwise(F.monotonically_increasing_id() >= 0)
+
+
 def joined(gold: DataFrame, predicted: DataFrame, key: str, strict: bool = True) -> DataFrame:
     """Gold rows with the predictions of their key; an unknown key on the right is an error if strict.
 
@@ -22,7 +31,7 @@ def joined(gold: DataFrame, predicted: DataFrame, key: str, strict: bool = True)
     g, p = gold.drop("predictions").withColumn("_g", F.lit(True)), predicted.select(F.col(key), "predictions")
     both = g.join(p, key, "full_outer" if strict else "left")
     if strict:
-        both = both.filter(F.when(F.col("_g").isNull(), F.raise_error(F.lit("predictions for an unknown example"))).otherwise(F.lit(True)))
+        both = both.filter(required(F.col("_g"), F.lit("predictions for an unknown example")))
     return both.withColumn("predictions", F.coalesce("predictions", F.expr("cast(array() as array<struct<start:int,end:int,entity_type:string,score:double>>)"))).drop("_g")
 
 

@@ -72,8 +72,8 @@ def _predicted(spark: SparkSession, folder: str) -> DataFrame:
     last = F.array_max(F.transform("windows", lambda s: s.end))  # before the merge, which could hide it
     preds = windows.select("row_id", F.struct(merged.alias("spans"), last.alias("last")).alias("predictions"))
     rows = table(spark, folder, "dataset_examples").withColumn("_g", F.lit(True)).join(preds, "row_id", "full_outer")
-    unknown = F.raise_error(F.concat(F.lit("predictions for an unknown row "), F.col("row_id").cast("string")))
-    rows = _annotated(spark, folder, rows.filter(F.when(F.col("_g").isNull(), unknown).otherwise(F.lit(True))).drop("_g"))
+    unknown = F.concat(F.lit("predictions for an unknown row "), F.col("row_id").cast("string"))
+    rows = _annotated(spark, folder, rows.filter(metrics.required(F.col("_g"), unknown)).drop("_g"))
     error = F.raise_error(F.concat(F.lit("a prediction ends past the text of row "), F.col("row_id").cast("string")))
     none = F.expr("cast(array() as array<struct<start:int,end:int,entity_type:string,score:double>>)")
     return rows.withColumn("predictions", F.when(F.col("predictions.last") > F.length("text"), error).otherwise(F.coalesce("predictions.spans", none)))

@@ -315,18 +315,29 @@ def test_profile_searches_use_the_full_grid(spark, monkeypatch):
     assert asked == {"strict": (grid, 0.35), "balanced": (grid, 0.60)}
 
 
+def test_an_unknown_key_is_an_error_under_later_filters(spark):
+    gold = spark.createDataFrame([(1, "Ana")], "k long, text string")
+    preds = spark.createDataFrame([(2, [])], "k long, predictions array<struct<start:int,end:int,entity_type:string,score:double>>")
+    with pytest.raises(Exception, match="unknown example"):
+        metrics.joined(gold, preds, "k").filter("text is not null").collect()
+
+
 def test_predictions_past_the_text_are_errors(spark, monkeypatch):
     from spanloom.plans import catalogue
 
     gold = spark.createDataFrame([(1, "Ana was here", [(0, 3, "PERSON")])], "row_id long, text string, spans array<struct<start:int,end:int,entity_type:string>>")
-    monkeypatch.setattr(catalogue, "_annotated", lambda *_: gold)
 
-    def merged(*spans):
-        rows = [(1, i, a, b, "PERSON", 0.9) for i, (a, b) in enumerate(spans)]
+    def merged(*spans, row=1):
+        rows = [(row, i, a, b, "PERSON", 0.9) for i, (a, b) in enumerate(spans)]
         windows = spark.createDataFrame(rows, "row_id long, window_index int, span_start int, span_end int, entity_type string, score double")
-        monkeypatch.setattr(catalogue, "table", lambda *_: windows)
+        monkeypatch.setattr(catalogue, "table", lambda _s, _f, name: gold if name == "dataset_examples" else windows)
         return [(r.span_start, r.span_end) for r in catalogue.queries()["window_predictions_merged"](spark, "").collect()]
 
     assert merged((0, 3), (8, 12)) == [(0, 3), (8, 12)]
     with pytest.raises(Exception, match="ends past the text of row 1"):
         merged((0, 3), (8, 13))
+    with pytest.raises(Exception, match="unknown row 2"):
+        merged((0, 3), row=2)
+    with pytest.raises(Exception, match="does not lie in its text"):
+        outside = gold.withColumn("predictions", F.expr("array(named_struct('start', 1, 'end', 99, 'entity_type', 'PERSON', 'score', 1.0D))"))
+        metrics.dataset_score(metrics.document_measures(outside)).collect()
