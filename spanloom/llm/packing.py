@@ -16,7 +16,6 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..plans.written import written
