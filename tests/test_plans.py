@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import batches
-from spanloom.operators import audit, datasets
+from spanloom.operators import audit, calibrate, datasets, redact
 from spanloom.plans import written as w
 from spanloom.plans.skew import HOT, attach, hot_from
 from spanloom.sources import jsonl, tables
@@ -152,3 +152,16 @@ def test_put_back_in_one_pass_equals_one_by_one():
         text = "".join(rng.choice([*marks, "x", "[", "]", " "]) for _ in range(rng.randrange(12))) + "".join(marks)
         mapping = [(m, rng.choice(["v", "w [", "", "A_1"])) for m in marks]
         assert batches.put_back_all(text, mapping) == batches.put_back_one(text, mapping)
+
+
+def test_selection_report_and_profiles_written(spark, tmp_path):
+    rows = [("x" * 20, [(0, 4, "P")], [(0, 4, "P", 0.4), (6, 9, "P", 0.2)])]
+    df = spark.createDataFrame(rows, "text string, spans array<struct<start:int,end:int,entity_type:string>>, predictions array<struct<start:int,end:int,entity_type:string,score:double>>")
+    found, scores = calibrate.selection_report(df, ["P"], [0.0, 0.3, 0.9])
+    assert found == {"balanced": {"P": 0.3}, "strict": {"P": 0.35}}
+    got = {(r.mode, r.choice): (r.predicted, r.exact_f1, r.leak_rate) for r in scores.collect()}
+    assert got == {("balanced", "anchor"): (0, 0.0, 1.0), ("balanced", "found"): (1, 1.0, 0.0), ("strict", "anchor"): (1, 1.0, 0.0), ("strict", "found"): (1, 1.0, 0.0)}
+    calibrate.write_profiles(found, f"{tmp_path}/p.json")
+    assert redact.load_thresholds("strict", f"{tmp_path}/p.json") == found["strict"]
+    with pytest.raises(ValueError):
+        calibrate.write_profiles({"strict": {"P": 2.0}}, f"{tmp_path}/q.json")
