@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -289,3 +291,86 @@ def merged_spans(spans: list[Window]) -> list[Window]:
 def merged(windows: pa.Array) -> pa.Array:
     names = WINDOWED_TYPE.names
     return lists([None if w is None else merged_spans([tuple(x[n] for n in names) for x in w]) for w in windows.to_pylist()], WINDOWED_TYPE)
+
+
+# ---- documents taken apart where no span reaches across
+
+
+def _held(spans: pa.ListArray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """How many structs each list has, a null one none, and the fields of all of them."""
+    flat = pc.list_flatten(spans)
+    return pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False).astype(np.int64), dict(zip((f.name for f in flat.type), flat.flatten()))
+
+
+def _dealt(sizes: np.ndarray, fields: dict[str, pa.Array], mask: pa.Array | None = None) -> pa.ListArray:
+    """Lists of so many structs each."""
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(list(fields.values()), names=list(fields)), mask=mask)
+
+
+def _whole(values: pa.Array) -> np.ndarray:
+    return pc.fill_null(values, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def pieces_of(batch: pa.RecordBatch, cuts: list[float]) -> Iterator[pa.RecordBatch]:
+    """``docs, length, spans, predictions, n`` of rows with the middle three; see :func:`apart`."""
+    length, gold, predicted = (batch.column(k) for k in ("length", "spans", "predictions"))
+    (sizes_g, of_g), (sizes_p, of_p) = _held(gold), _held(predicted)
+    score = of_p["score"]
+    at = np.searchsorted(cuts, score.to_numpy(zero_copy_only=False), "right")  # NaN is above all, as in Spark
+    of_p["score"] = pa.array(np.array([-1.0, *cuts])[at], pa.float64(), mask=score.is_null().to_numpy(zero_copy_only=False))
+    n, rows = _whole(length), np.arange(len(length))
+    doc = np.concatenate([np.repeat(rows, sizes_g), np.repeat(rows, sizes_p)])
+    a, b = (np.concatenate([_whole(of_g[k]), _whole(of_p[k])]) for k in ("start", "end"))
+    named = [pc.fill_null(pc.not_equal(pc.utf8_trim(f["entity_type"], " "), ""), False).to_numpy(zero_copy_only=False) for f in (of_g, of_p)]
+    good = (a >= 0) & (a < b) & (b <= n[doc]) & np.concatenate(named)
+    sound = (n >= 0) & ~gold.is_null().to_numpy(zero_copy_only=False) & ~predicted.is_null().to_numpy(zero_copy_only=False)
+    sound[doc[~good]] = False
+    if not sound.all():
+        left = pa.array(np.flatnonzero(~sound))
+        one = pa.array(np.ones(len(left), np.int64))
+        spans, scored = _dealt(sizes_g, of_g, gold.is_null()), _dealt(sizes_p, of_p, predicted.is_null())
+        yield pa.RecordBatch.from_arrays([one, length.take(left), spans.take(left), scored.take(left), one], names=["docs", *batch.schema.names, "n"])
+    # A span that starts at or behind the furthest end so far, or in another document, begins a piece.
+    mine = np.flatnonzero(sound[doc])
+    order = mine[np.lexsort((a[mine], doc[mine]))]
+    begin, reach = (doc[order] << 32) + a[order], np.maximum.accumulate((doc[order] << 32) + b[order])
+    heads = np.flatnonzero(np.concatenate([np.ones(min(len(order), 1), bool), begin[1:] >= reach[:-1]]))
+    tails = np.concatenate([heads[1:], [len(order)]])[: len(heads)] - 1
+    first, owner = a[order[heads]], doc[order[heads]]
+    size = reach[tails] - (owner << 32) - first
+    piece = np.full(len(doc), -1)
+    piece[order] = np.repeat(np.arange(len(heads)), tails - heads + 1)
+
+    def own(piece: np.ndarray, fields: dict[str, pa.Array]) -> pa.ListArray:
+        """The spans of each piece, in the order they had, counted from its start."""
+        held = np.flatnonzero(piece >= 0)
+        held = held[np.argsort(piece[held], kind="stable")]
+        moved = {k: v.take(pa.array(held)) for k, v in fields.items()}
+        for k in ("start", "end"):
+            moved[k] = pa.array(_whole(moved[k]) - first[piece[held]], fields[k].type)
+        return _dealt(np.bincount(piece[held], minlength=len(heads)), moved)
+
+    columns = [pa.array(np.zeros(len(heads), np.int64)), pa.array(size, length.type), own(piece[: len(of_g["start"])], of_g), own(piece[len(of_g["start"]) :], of_p), pa.array(np.ones(len(heads), np.int64))]
+    yield pa.RecordBatch.from_arrays(columns, names=["docs", *batch.schema.names, "n"])
+    rest = n - np.bincount(owner, weights=size, minlength=len(n)).astype(np.int64)
+    bare, times = np.unique(rest[sound], return_counts=True)
+    none = np.zeros(len(bare), np.int64)
+    nothing = [_dealt(none, {k: v.slice(0, 0) for k, v in f.items()}) for f in (of_g, of_p)]
+    yield pa.RecordBatch.from_arrays([pa.array(none + 1), pa.array(bare, length.type), *nothing, pa.array(times.astype(np.int64))], names=["docs", *batch.schema.names, "n"])
+
+
+def apart(cuts: list[float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows ``length, spans, predictions`` as pieces ``docs, length, spans, predictions, n``, for ``mapInArrow``.
+
+    A piece is what spans that overlap one another cover together, counted from
+    its start; what no span covers is one piece per document, with ``docs`` 1, and
+    comes as often as ``n`` says. A score becomes the highest cut not above it, or
+    -1 below all, so comparing it with any cut gives the same. A row with a null
+    array or a span that breaks a rule stays whole.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from pieces_of(batch, cuts)
+
+    return run

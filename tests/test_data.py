@@ -176,6 +176,44 @@ def test_sweep_equals_scoring_each_threshold(spark):
     assert calibrate.sweep_thresholds(df.limit(0), [0.5]).first().f1 == 0.0
 
 
+def odd_rows(rng, n):
+    """Documents of spans that touch, overlap, repeat, lack a score or have an odd one, and some rows without arrays."""
+    make = lambda most: [(a := rng.randrange(30), a + rng.randrange(1, 9), rng.choice("ABC")) for _ in range(rng.randrange(most))]
+    scores = [None, 0.0, -0.0, 0.3, 0.33, 0.5, 0.6, 1.0, 1.5, -0.5, float("nan")]
+    rows = [("x" * rng.randrange(40, 43), make(5), [(*s, rng.choice(scores)) for s in make(7)]) for _ in range(n)]
+    return [*rows, ("x" * 9, None, [(0, 4, "A", 0.7)]), ("x" * 9, [(0, 4, "A")], None), (None, [], []), ("", [], []), ("x" * 9, [(2, 5, "B")], [])]
+
+
+ODD = "text string, spans array<struct<start:int,end:int,entity_type:string>>, predictions array<struct<start:int,end:int,entity_type:string,score:double>>"
+
+
+def test_pieces_score_as_their_documents(spark):
+    from spanloom.functions.spans import above
+
+    df, grid, rest = spark.createDataFrame(odd_rows(random.Random(5), 150), ODD), [0.25, 0.5, 1.0], {"B": 0.6}
+    pieces = calibrate._pieces(df, [*grid, 0.6], "spans", "predictions").cache()
+    assert pieces.agg(F.sum(F.col("docs") * F.col("n"))).first()[0] == 155
+    for only, kept in ((None, {}), ("A", rest)):
+        a, b = (calibrate.sweep_thresholds(x.withColumn("predictions", above(F.col("predictions"), kept)), [*grid, 0.6], only=only, **more).collect() for x, more in ((df, {}), (pieces, {"length": F.col("length"), "weight": F.col("n")})))
+        assert sorted(a) == sorted(b) and any(r.f1 for r in a)
+    profile, score = calibrate.optimize_profile(df.toDF("text", "gold", "said"), ["A", "B"], grid, 0.6, "balanced", passes=1, gold="gold", predicted="said")
+    assert score == calibrate.score_profile(df, profile).first().asDict()
+    assert calibrate.optimize_profile(df.limit(0), ["A"], grid, 0.6, "strict", passes=1)[1]["examples"] == 0
+
+
+def test_a_search_sweeps_each_different_piece_once(spark, monkeypatch):
+    held, write = [], calibrate.written
+    monkeypatch.setattr(calibrate, "written", lambda df, name: held.append(write(df, name)) or held[-1])
+    at = lambda i: [(i % 50, i % 50 + 4, "A"), (60 + i % 30, 65 + i % 30, "B")]
+    rows = [("x" * 100, at(i), [(*s, 0.71 + i % 4 / 100) for s in at(i)]) for i in range(400)]
+    profile, score = calibrate.optimize_profile(spark.createDataFrame(rows, ODD), ["A", "B"], [0.0, 0.5, 0.9], 0.6, "balanced", passes=1)
+    assert (profile, score["examples"], score["exact_tp"], score["exact_f1"]) == ({"A": 0.6, "B": 0.6}, 400, 800, 1.0)
+    assert [x.count() for x in held] == [3]  # a span of each type, and what no span covers
+    outside = spark.createDataFrame([*rows, ("x" * 9, [], [(5, 10, "A", 0.1)])], ODD)
+    with pytest.raises(Exception, match="does not lie in its text"):
+        calibrate.optimize_profile(outside, ["A"], [0.5], 0.6, "balanced", passes=1)
+
+
 def test_audit(spark, one):
     E = "text string, spans array<struct<start:int,end:int,entity_type:string>>"
     t, s = one(("Call Alice now", [(5, 10, "PERSON")]), E, audit.perturbed(F.col("text"), F.col("spans"), audit.PERTURBATIONS["double_spaces"]))
